@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from weftgraph.llm import best_fit, bpe_tree, url_trie, warc
+from weftgraph.llm import best_fit, bpe_tree, divergence, simhash_gph, url_trie, warc
 from weftgraph.llm.runtime import scratch, table
 
 #: A parameter: the tokenizer file is read where the box keeps it and never copied.
@@ -16,6 +16,10 @@ def op2_url_filter(spark, sf_dir):
     return url_trie.judge_urls(table(spark, sf_dir, "pages"), url_trie.RULES)
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash_gph.near_duplicates(table(spark, sf_dir, "documents")).drop("__fp")
+
+
 def op4_bpe(spark, sf_dir):
     return bpe_tree.round_trip_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -29,7 +33,12 @@ def op9_warc(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_bpe, op5_best_fit_packing, op9_warc)}
+def op10_divergence(spark, sf_dir):
+    out = divergence.quality_counts(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *divergence.COUNTS, "base_failed", "kept", "class_distance", "word_distance")
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_simhash, op4_bpe, op5_best_fit_packing, op9_warc, op10_divergence)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES = {
