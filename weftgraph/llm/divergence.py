@@ -5,7 +5,7 @@ the common words of several languages (all further words are one cell more). The
 follows the corpus: over all its documents of ``MIN_WORDS`` words or more, the median of each class's
 share (which junk hardly moves) and the mean of each common word's.
 The Jensen-Shannon distance (square root of the divergence to base 2, 0 to 1) must stay below a limit
-for either histogram. Short texts have noisy histograms: the limits widen by ``NOISE / sqrt(n_words)``,
+for either histogram. Short texts have noisy histograms: the limits widen with ``1 / sqrt(n_words)``,
 and a text under ``MIN_WORDS`` words isn't held against the references.
 
 Counted besides: words, code points in words, symbols, lines equal to an earlier line, and words that
@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.runtime import settle
 
 MIN_WORDS = 50
-NOISE = 1.0
-CLASS_LIMIT = 0.20
-WORD_LIMIT = 0.30
+CLASS_LIMIT, CLASS_NOISE = 0.16, 0.5
+WORD_LIMIT, WORD_NOISE = 0.26, 0.7
 MAX_LANGUAGES = 10_000
 
 # Frequent function words of the four languages, and character classes.
@@ -102,7 +101,7 @@ def judge(profiled: DataFrame, language: str = "lang") -> DataFrame:
     known = settle(references(profiled, language), "languages")
     near = F.broadcast(known) if known.count() <= MAX_LANGUAGES else known
     met = profiled.join(near, F.col(language).eqNullSafe(F.col("__lang")), "left")
-    room = F.lit(NOISE) / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    unsure = 1 / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     met = met.withColumns(
         {
             "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
@@ -110,7 +109,7 @@ def judge(profiled: DataFrame, language: str = "lang") -> DataFrame:
             "word_distance": distance("__common", "__ref_common"),
         }
     )
-    far = (F.col("class_distance") > CLASS_LIMIT + room) | (F.col("word_distance") > WORD_LIMIT + room)
+    far = (F.col("class_distance") > CLASS_LIMIT + CLASS_NOISE * unsure) | (F.col("word_distance") > WORD_LIMIT + WORD_NOISE * unsure)
     met = met.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far & (F.col("n_words") >= MIN_WORDS), F.lit(False)))
     return met.drop("__lang", "__ref_class", "__ref_common", "__class", "__common")
 

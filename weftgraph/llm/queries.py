@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from weftgraph.llm import best_fit, bpe_tree, divergence, simhash_gph, url_trie, warc
+from weftgraph.llm import best_fit, bpe_tree, divergence, html_mincut, ppm, simhash_gph, url_trie, warc
 from weftgraph.llm.runtime import scratch, table
 
 #: A parameter: the tokenizer file is read where the box keeps it and never copied.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_mincut(spark, sf_dir):
+    return html_mincut.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark, sf_dir):
     return url_trie.judge_urls(table(spark, sf_dir, "pages"), url_trie.RULES)
 
@@ -28,6 +32,10 @@ def op5_best_fit_packing(spark, sf_dir):
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_ppm(spark, sf_dir):
+    return ppm.score(table(spark, sf_dir, "documents"), ppm.crc_mod("doc_id", 7) == 2)
+
+
 def op9_warc(spark, sf_dir):
     out = warc.archive(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -38,7 +46,7 @@ def op10_divergence(spark, sf_dir):
     return out.select("doc_id", *divergence.COUNTS, "base_failed", "kept", "class_distance", "word_distance")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_simhash, op4_bpe, op5_best_fit_packing, op9_warc, op10_divergence)}
+QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_url_filter, op3_simhash, op4_bpe, op5_best_fit_packing, op8_ppm, op9_warc, op10_divergence)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES = {
