@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.runtime import settle, slices, text_of
 
-ORDER = 5
-NODES = 1 << 19
+ORDER = 6
+NODES = 1 << 21
 HOT_WORDS = 1 << 18
 START, END, SYMBOLS = 0xFE, 0xFF, 255
 _FLUSH_GRAMS, _FLUSH_WORDS = 3_000_000, 250_000

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from weftgraph.llm import best_fit, bpe_tree, divergence, html_mincut, ppm, simhash_gph, url_trie, warc
+from weftgraph.llm import best_fit, bpe_tree, divergence, html_mincut, order_minhash, ppm, simhash_gph, toxicity_cnn, url_trie, warc
 from weftgraph.llm.runtime import scratch, table
 
 #: A parameter: the tokenizer file is read where the box keeps it and never copied.
@@ -32,6 +32,14 @@ def op5_best_fit_packing(spark, sf_dir):
     return best_fit.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity_cnn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_order_minhash(spark, sf_dir):
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_ppm(spark, sf_dir):
     return ppm.score(table(spark, sf_dir, "documents"), ppm.crc_mod("doc_id", 7) == 2)
 
@@ -46,7 +54,7 @@ def op10_divergence(spark, sf_dir):
     return out.select("doc_id", *divergence.COUNTS, "base_failed", "kept", "class_distance", "word_distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_url_filter, op3_simhash, op4_bpe, op5_best_fit_packing, op8_ppm, op9_warc, op10_divergence)}
+QUERIES = {f.__name__: f for f in (op1_html_mincut, op2_url_filter, op3_simhash, op4_bpe, op5_best_fit_packing, op6_toxicity, op7_order_minhash, op8_ppm, op9_warc, op10_divergence)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES = {
