@@ -1,9 +1,57 @@
-"""The corpus pipeline: see STAGES."""
+"""The corpus pipeline over ``documents``: toxicity, quality rules, SimHash near-dedup, best-fit packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result to
+the cluster's shared folder and reads it again as the next stage's ``docs``. All but the last return the
+columns of documents. Stages drop what their operator rejects and nothing else:
+
+* toxicity: rows scoring 0.5 or more go; the classifier learns from the training fold of ``labels``;
+* quality rules: rows that the rules don't keep go;
+* SimHash near-dedup: of each class of texts whose fingerprints (three-word shingles) are linked within
+  three bits, the row with the smallest doc_id stays; of repeated rows one stays;
+* best-fit packing: all that is left, packed into sequences of at most 1024 tokens.
+
+Null texts are empty texts; they fail the quality rules. An empty table stays empty.
+"""
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftgraph.llm import best_fit, divergence, simhash_gph, toxicity_cnn
+from weftgraph.llm.ppm import crc_mod
+from weftgraph.llm.queries import VOCABULARY
+from weftgraph.llm.runtime import settle, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    net = toxicity_cnn.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return toxicity_cnn.with_scores(docs, net, name="__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return divergence.quality(docs).filter("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = simhash_gph.with_fingerprints(docs)
+    classes = simhash_gph.classes(marked.select("doc_id", "__fp"))
+    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("__fp").alias("__own")).distinct()
+    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__own")), "left_semi")
+    twin = F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy(F.lit(1)))
+    return kept.withColumn("__twin", twin).filter("__twin = 1").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(docs, VOCABULARY)
+
+
+STAGES = [("toxicity", toxicity), ("quality rules", quality_rules), ("simhash near-dedup", near_dedup), ("best-fit packing", packing)]
+
+#: A trained network decides the first stage, which SQL can't express; the tests hold it to a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply every stage to documents, each writing what the next one reads."""
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
