@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.runtime import text_of
 
-K, SLOTS, PICKED = 6, 64, 2
+K, SLOTS, PICKED = 5, 128, 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-_RING = (np.arange(SLOTS, dtype=np.uint64) << np.uint64(58)).astype(np.uint64)
+_RING = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - (SLOTS - 1).bit_length())
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
