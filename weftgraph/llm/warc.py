@@ -11,8 +11,8 @@ splits when one digest is hot. Payloads are shuffled once, by (id, digest), to m
 
 Archives are written through Spark's own writer into the cluster's shared folder, so a lost executor's
 attempt leaves nothing behind. A record ends in CR LF CR LF, which is the writer's line end here.
-Files are gzip streams of up to ``RECORDS_PER_FILE`` records, and about ``BYTES_PER_FILE`` bytes
-of payload, so that one file fits in a reader's memory; records are not members of their own, so
+Files are gzip streams of so many records (``RECORDS_PER_FILE`` at most) that a file of average pages
+has ``BYTES_PER_FILE`` bytes and fits in a reader's memory; records are not members of their own, so
 the archives are for sequential reading.
 
 Defined cases: null html is the empty payload; null ids order below all others; of repeated rows (the
@@ -83,8 +83,8 @@ def format_record(page, link, body: str, digest: dict, kind: str, original) -> s
     return "\r\n".join(head) + END + block
 
 
-def write_archives(resolved: DataFrame, path: str, tasks: int, **names) -> None:
-    records(resolved.repartition(tasks, "__id", "__digest"), **names).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archives(resolved: DataFrame, path: str, per_file: int, **names) -> None:
+    records(resolved, **names).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def parse_archive(raw: bytes):
@@ -141,6 +141,7 @@ def _batch(rows, kinds):
 
 def archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write deduplicated archives of all pages under ``path`` and read them back."""
-    size = headers(pages, key, payload).agg(F.sum("__bytes")).first()[0] or 0
-    write_archives(resolve(pages, key, payload, least_bytes), path, max(1, -(-size // BYTES_PER_FILE)), key=key, url=url, payload=payload)
+    mean = headers(pages, key, payload).agg(F.avg("__bytes")).first()[0] or 0
+    per_file = max(1, min(RECORDS_PER_FILE, int(BYTES_PER_FILE / (mean + 600))))
+    write_archives(resolve(pages, key, payload, least_bytes), path, per_file, key=key, url=url, payload=payload)
     return read_archives(pages.sparkSession, path)
