@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.bpe_tree import worker_encoder
-from weftgraph.llm.runtime import slices, text_of
+from weftgraph.llm.runtime import only, slices, text_of
 
 #: Rows to a packing task: enough that the bins left open at its end don't count.
 ROWS_PER_TASK = 400_000
@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
                 kinds = (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    src = docs.select("doc_id", text_of(docs).alias("text"))
+    src = only(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
     return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 

@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import slices, text_of
+from weftgraph.llm.runtime import only, slices, text_of
 
 #: Fixed value: the pre-token pattern of the vocabulary file.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -173,7 +173,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
                 ids = bpe.encode_batch(texts[a:b])
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["__key", "ids", "n_tokens"])
 
-    src = docs.select(F.col(key).alias("__key"), text_of(docs, text).alias("__text"))
+    src = only(docs, key, text).select(F.col(key).alias("__key"), text_of(text).alias("__text"))
     kind = dict(src.dtypes)["__key"]
     return src.mapInArrow(run, f"__key {kind}, ids binary, n_tokens long").withColumnRenamed("__key", key)
 
@@ -211,5 +211,5 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, leaf: int = 16_384) ->
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    src = docs.select("doc_id", text_of(docs).alias("text"))
+    src = only(docs, "doc_id", "text").select("doc_id", text_of().alias("text"))
     return src.mapInArrow(run, f"doc_id {dict(src.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import settle
+from weftgraph.llm.runtime import only, settle
 
 MIN_WORDS = 50
 CLASS_LIMIT, CLASS_NOISE = 0.16, 0.5
@@ -121,7 +121,7 @@ def quality(docs: DataFrame, text: str = "text", language: str = "lang") -> Data
 
 def quality_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
     """As ``quality``, for the key alone: texts aren't written to the shared folder."""
-    light = settle(profile(docs.select(key, language, text), text).drop(text), "profiles")
+    light = settle(profile(only(docs, key, language, text), text).drop(text), "profiles")
     return judge(light, language).drop(language)
 
 

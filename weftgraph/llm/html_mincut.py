@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.runtime import only
+
 # HTML's element kinds.
 RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "select", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -240,5 +242,5 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["__key", "__url", "text", "n_chars"])
 
-    src = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url"), F.coalesce(html, F.lit("")))
+    src = only(pages, key, url, html).select(F.col(key).alias("__key"), F.col(url).alias("__url"), F.coalesce(html, F.lit("")))
     return src.mapInArrow(run, f"__key {dict(src.dtypes)['__key']}, __url string, text string, n_chars long").withColumnsRenamed({"__key": key, "__url": url})

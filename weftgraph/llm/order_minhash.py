@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import text_of
+from weftgraph.llm.runtime import only, text_of
 
 K, SLOTS, PICKED = 5, 128, 2
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +94,7 @@ def neighbours(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(part, id, packed, lead) sorted within parts: each part ends with the row that follows it."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    whole = docs.select(F.col(key).alias("id"), text_of(docs).alias("text"))
+    whole = only(docs, key, "text").select(F.col(key).cast("long").alias("id"), text_of().alias("text"))
     borders = ranges(whole, "id", parts)
     of = F.lit(0)
     if borders:

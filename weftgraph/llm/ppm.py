@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.runtime import settle, slices, text_of
+from weftgraph.llm.runtime import only, settle, slices, text_of
 
 ORDER = 6
 NODES = 1 << 21
@@ -91,7 +91,7 @@ def gather(train: DataFrame) -> DataFrame:
                     words, grams, held = Counter(), [], 0
         yield from rows(words, grams)
 
-    counted = train.select(text_of(train).alias("text")).mapInArrow(run, "word string, gram long, n long")
+    counted = train.select(text_of().alias("text")).mapInArrow(run, "word string, gram long, n long")
     return counted.groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -193,7 +193,7 @@ def crc_mod(key: str, mod: int):
 def score(docs: DataFrame, held_out, key: str = "doc_id") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score); ``held_out`` is a boolean column."""
     spark = docs.sparkSession
-    src = docs.select(F.col(key).alias("id"), text_of(docs).alias("text"), held_out.alias("held"))
+    src = only(docs, key, "text").select(F.col(key).alias("id"), text_of().alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     gathered = settle(gather(src.filter("NOT held")), "counts")
     words = gathered.filter("gram IS NULL").select("word", "n")
     documents = src.filter("NOT held").count()

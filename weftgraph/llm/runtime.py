@@ -81,6 +81,21 @@ def slices(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def text_of(df: DataFrame, column: str = "text"):
+def exact(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with its first column of each exact name; all others get names that clash with nothing."""
+    seen: set[str] = set()
+    fresh = []
+    for i, c in enumerate(df.columns):
+        fresh.append(c if c in names and c not in seen else f"__extra{i}")
+        seen.add(c)
+    return df.toDF(*fresh)
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, whatever else ``df`` holds."""
+    return exact(df, *names).select(*names)
+
+
+def text_of(column: str = "text"):
     """The column with null read as the empty text."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))

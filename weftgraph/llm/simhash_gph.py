@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import components
-from weftgraph.llm.runtime import settle, text_of
+from weftgraph.llm.runtime import only, settle
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -349,7 +349,7 @@ def _span(edges: np.ndarray) -> np.ndarray:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, most: int = 3, bucket: int = 4096) -> DataFrame:
     """(key, fingerprint, component_id) for every row of ``docs``."""
-    return classes(with_fingerprints(docs.select(F.col(key).alias("doc_id"), text_of(docs, text).alias("text")), "text", width).select("doc_id", "__fp"), most, bucket).withColumnRenamed("doc_id", key)
+    return classes(with_fingerprints(only(docs, key, text).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text", width).select("doc_id", "__fp"), most, bucket).withColumnRenamed("doc_id", key)
 
 
 def classes(keyed: DataFrame, most: int = 3, bucket: int = 4096) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.runtime import only
+
 #: Most entries that are broadcast: about 200 bytes each.
 MAX_RULES = 500_000
 
@@ -92,7 +94,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "
             found = [trie.value.match(h, p) for h, p in zip(hosts, paths, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r for r, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["__key", "host", "path", "rule", "verdict"])
 
-    src = with_host_and_path(pages.select(F.col(key).alias("__key"), F.col(url).alias("__url")), "__url").select("__key", "host", "path")
+    src = with_host_and_path(only(pages, key, url).select(F.col(key).alias("__key"), F.col(url).alias("__url")), "__url").select("__key", "host", "path")
     return src.mapInArrow(run, f"__key {dict(src.dtypes)['__key']}, host string, path string, rule string, verdict string").withColumnRenamed("__key", key)
 
 

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm.runtime import only
+
 BYTES_PER_FILE = 24_000_000
 RECORDS_PER_FILE = 20_000
 END = "\r\n\r\n"
@@ -141,6 +143,7 @@ def _batch(rows, kinds):
 
 def archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
     """Write deduplicated archives of all pages under ``path`` and read them back."""
+    pages = only(pages, key, url, payload)
     mean = headers(pages, key, payload).agg(F.avg("__bytes")).first()[0] or 0
     per_file = max(1, min(RECORDS_PER_FILE, int(BYTES_PER_FILE / (mean + 600))))
     write_archives(resolve(pages, key, payload, least_bytes), path, per_file, key=key, url=url, payload=payload)
