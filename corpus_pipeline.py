@@ -10,7 +10,8 @@ columns of documents. Stages drop what their operator rejects and nothing else:
   three bits, the row with the smallest doc_id stays; of repeated rows one stays;
 * best-fit packing: all that is left, packed into sequences of at most 1024 tokens.
 
-Null texts are empty texts; they fail the quality rules. An empty table stays empty.
+Null texts are empty texts; they fail the quality rules. An empty table stays empty. Further columns of
+documents pass through the stages, whatever their names.
 """
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,25 +20,28 @@ from pyspark.sql import functions as F
 from weftgraph.llm import best_fit, divergence, simhash_gph, toxicity_cnn
 from weftgraph.llm.ppm import crc_mod
 from weftgraph.llm.queries import VOCABULARY
-from weftgraph.llm.runtime import settle, table
+from weftgraph.llm.runtime import exact, settle, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = toxicity_cnn.train(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
-    return toxicity_cnn.with_scores(docs, net, name="__toxicity").filter("__toxicity < 0.5").drop("__toxicity")
+    own = exact(docs, "doc_id", "text")
+    net = toxicity_cnn.train(own, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return toxicity_cnn.with_scores(own, net, name="__toxicity").filter("__toxicity < 0.5").drop("__toxicity").toDF(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return divergence.quality(docs).filter("kept").select(*docs.columns)
+    own = exact(docs, "doc_id", "text", "lang")
+    return divergence.quality(own).filter("kept").select(*own.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = simhash_gph.with_fingerprints(docs)
+    own = exact(docs, "doc_id", "text")
+    marked = simhash_gph.with_fingerprints(own)
     classes = simhash_gph.classes(marked.select("doc_id", "__fp"))
     first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("__fp").alias("__own")).distinct()
     kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__own")), "left_semi")
     twin = F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy(F.lit(1)))
-    return kept.withColumn("__twin", twin).filter("__twin = 1").select(*docs.columns)
+    return kept.withColumn("__twin", twin).filter("__twin = 1").select(*own.columns).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
