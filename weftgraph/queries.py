@@ -48,9 +48,9 @@ traversal("has_pred_between", "SELECT c_custkey, c_acctbal FROM customer WHERE c
 traversal("has_inside_outside", "SELECT c_custkey FROM customer WHERE (c_acctbal > 100 AND c_acctbal < 500) OR c_acctbal < -500 OR c_acctbal > 9000", lambda g: g.V().hasLabel("customer").has("c_acctbal", P.inside(100.0, 500.0).or_(P.outside(-500.0, 9000.0))), "c_custkey")
 traversal("has_within", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')", lambda g: g.V().hasLabel("customer").has("c_mktsegment", P.within("BUILDING", "MACHINERY")), "c_custkey")
 traversal("has_without", "SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')", lambda g: g.V().hasLabel("customer").has("c_mktsegment", P.without("BUILDING", "MACHINERY")), "c_custkey")
-traversal("has_label_key_value", "SELECT n_nationkey FROM nation WHERE n_nationkey = 7", lambda g: g.V().has("nation", "n_nationkey", 7), "n_nationkey")
-traversal("has_strict_type", "SELECT n_nationkey FROM nation WHERE false", lambda g: g.V().has("n_nationkey", 7.0), "n_nationkey")
-traversal("has_neq_not", "SELECT n_nationkey FROM nation WHERE n_nationkey <> 3 AND NOT n_nationkey > 20", lambda g: g.V().hasLabel("nation").has("n_nationkey", P.neq(3).and_(P.gt(20).negate())), "n_nationkey")
+traversal("has_label_key_value", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_nationkey = 7", lambda g: g.V().has("nation", "n_nationkey", 7), "n_nationkey")
+traversal("has_strict_type", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation WHERE false", lambda g: g.V().has("n_nationkey", 7.0), "n_nationkey")
+traversal("has_neq_not", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation WHERE n_nationkey <> 3 AND NOT n_nationkey > 20", lambda g: g.V().hasLabel("nation").has("n_nationkey", P.neq(3).and_(P.gt(20).negate())), "n_nationkey")
 traversal("has_key", "SELECT c_custkey AS id FROM customer WHERE false UNION ALL SELECT 3000000000000 + c_custkey FROM customer", lambda g: g.V().has("c_mktsegment"), "id")
 traversal("has_not_key", "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM documents) + (SELECT count(DISTINCT user_id) FROM events) AS n", lambda g: g.V().hasNot("c_mktsegment").count(), "n")
 traversal("has_id", "SELECT r_name AS value FROM region WHERE r_regionkey IN (0, 2)", lambda g: g.V().hasId(R, R + 2).values("r_name"))
@@ -78,12 +78,12 @@ traversal("and_or_sub", "SELECT c_custkey FROM customer WHERE (EXISTS (SELECT 1
 traversal("where_neq_label", "SELECT count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey WHERE a.c_custkey <= 20", lambda g: g.V().hasLabel("customer").has("c_custkey", P.lte(20)).as_("a").out("in_nation").in_("in_nation").hasLabel("customer").where_neq("a").count(), "n")
 traversal("where_eq_label", "SELECT count(*) AS n FROM customer a WHERE a.c_custkey <= 20", lambda g: g.V().hasLabel("customer").has("c_custkey", P.lte(20)).as_("a").out("in_nation").in_("in_nation").hasLabel("customer").where_eq("a").count(), "n")
 traversal("dedup_by_key", "SELECT c_mktsegment, min(c_custkey) AS c_custkey FROM customer GROUP BY 1", lambda g: g.V().hasLabel("customer").order().by("c_custkey").dedup("c_mktsegment"), "c_mktsegment", "c_custkey")
-traversal("dedup_by_sub", "SELECT c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY 1", lambda g: g.V().hasLabel("customer").order().by("c_custkey").dedup().by(__.out("in_nation").id()), "c_nationkey", "c_custkey")
+traversal("dedup_by_sub", "SELECT c_nationkey::BIGINT AS c_nationkey, min(c_custkey) AS c_custkey FROM customer GROUP BY 1", lambda g: g.V().hasLabel("customer").order().by("c_custkey").dedup().by(__.out("in_nation").id()), "c_nationkey", "c_custkey")
 traversal("order_limit", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10", lambda g: g.V().hasLabel("customer").order().by("c_acctbal", "desc").by("c_custkey").limit(10), "c_custkey", "c_acctbal")
-traversal("order_skip", "SELECT n_nationkey FROM nation ORDER BY n_name OFFSET 20", lambda g: g.V().hasLabel("nation").order().by("n_name").skip(20), "n_nationkey")
-traversal("order_range", "SELECT n_nationkey FROM nation ORDER BY n_name LIMIT 5 OFFSET 5", lambda g: g.V().hasLabel("nation").order().by("n_name").range(5, 10), "n_nationkey")
-traversal("order_tail", "SELECT n_nationkey FROM nation ORDER BY n_name DESC LIMIT 4", lambda g: g.V().hasLabel("nation").order().by("n_name").tail(4), "n_nationkey")
-traversal("order_by_sub", "SELECT n_nationkey FROM (SELECT n_nationkey, count(c_custkey) AS k FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) ORDER BY k DESC, n_nationkey LIMIT 5", lambda g: g.V().hasLabel("nation").order().by(__.in_("in_nation").hasLabel("customer").count(), "desc").by("n_nationkey").limit(5), "n_nationkey")
+traversal("order_skip", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation ORDER BY n_name OFFSET 20", lambda g: g.V().hasLabel("nation").order().by("n_name").skip(20), "n_nationkey")
+traversal("order_range", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation ORDER BY n_name LIMIT 5 OFFSET 5", lambda g: g.V().hasLabel("nation").order().by("n_name").range(5, 10), "n_nationkey")
+traversal("order_tail", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation ORDER BY n_name DESC LIMIT 4", lambda g: g.V().hasLabel("nation").order().by("n_name").tail(4), "n_nationkey")
+traversal("order_by_sub", "SELECT n_nationkey::BIGINT AS n_nationkey FROM (SELECT n_nationkey, count(c_custkey) AS k FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1) ORDER BY k DESC, n_nationkey LIMIT 5", lambda g: g.V().hasLabel("nation").order().by(__.in_("in_nation").hasLabel("customer").count(), "desc").by("n_nationkey").limit(5), "n_nationkey")
 query("index_step", "SELECT n_name AS value, row_number() OVER (ORDER BY n_name) - 1 AS index FROM nation")(lambda g: g.traversal().V().hasLabel("nation").order().by("n_name").values("n_name").index().df())
 
 # -- transforms --------------------------------------------------------------------------------
@@ -96,15 +96,15 @@ traversal("path_select_as", "SELECT n_name AS a, r_name AS b FROM nation JOIN re
 query("path_step", "SELECT 2000000000000 + n_nationkey AS a, 1000000000000 + n_regionkey AS b FROM nation")(lambda g: g.traversal().V().hasLabel("nation").out("in_region").path().df("p").select(F.col("p")[0]["id"].alias("a"), F.col("p")[1]["id"].alias("b")))
 traversal("constant_identity", "SELECT 'x' AS value FROM region", lambda g: g.V().hasLabel("region").identity().constant("x"))
 traversal("label_id_steps", "SELECT 'nation' AS value, count(*) AS n FROM nation", lambda g: g.V().hasLabel("nation").label().groupCount().project("value", "n").by("key").by("value"))
-traversal("map_closure", "SELECT n_nationkey * 2 + 1 AS value FROM nation", lambda g: g.V().hasLabel("nation").values("n_nationkey").map(lambda c: c * 2 + 1))
+traversal("map_closure", "SELECT (n_nationkey * 2 + 1)::BIGINT AS value FROM nation", lambda g: g.V().hasLabel("nation").values("n_nationkey").map(lambda c: c * 2 + 1))
 traversal("flat_map_closure", "SELECT unnest([n_nationkey, -n_nationkey])::BIGINT AS value FROM nation", lambda g: g.V().hasLabel("nation").values("n_nationkey").flatMap(lambda c: F.array(c, -c)))
-traversal("filter_closure", "SELECT n_nationkey AS value FROM nation WHERE n_nationkey % 3 = 0", lambda g: g.V().hasLabel("nation").values("n_nationkey").filter(lambda c: c % 3 == 0))
+traversal("filter_closure", "SELECT n_nationkey::BIGINT AS value FROM nation WHERE n_nationkey % 3 = 0", lambda g: g.V().hasLabel("nation").values("n_nationkey").filter(lambda c: c % 3 == 0))
 traversal("unfold_fold", "SELECT n_name AS value FROM nation", lambda g: g.V().hasLabel("nation").values("n_name").fold().unfold())
 
 # -- aggregates --------------------------------------------------------------------------------
 traversal("group_count", "SELECT c_mktsegment AS key, count(*) AS value FROM customer GROUP BY 1", lambda g: g.V().hasLabel("customer").groupCount().by("c_mktsegment"))
 query("group_fold_sum", "SELECT c_mktsegment AS key, round(sum(c_acctbal), 2) AS value FROM customer GROUP BY 1")(lambda g: g.traversal().V().hasLabel("customer").group().by("c_mktsegment").by(__.values("c_acctbal").sum()).df().select("key", F.round("value", 2).alias("value")))
-traversal("group_collect", "SELECT n_regionkey AS key, list(n_name ORDER BY n_nationkey) AS value FROM nation GROUP BY 1", lambda g: g.V().hasLabel("nation").group().by("n_regionkey").by("n_name"))
+traversal("group_collect", "SELECT n_regionkey::BIGINT AS key, list(n_name ORDER BY n_nationkey) AS value FROM nation GROUP BY 1", lambda g: g.V().hasLabel("nation").group().by("n_regionkey").by("n_name"))
 traversal("group_sub_count", "SELECT n_name AS key, count(c_custkey) AS value FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1", lambda g: g.V().hasLabel("nation").group().by("n_name").by(__.in_("in_nation").hasLabel("customer").count()))
 query("sum_step", "SELECT round(sum(c_acctbal), 2) AS total FROM customer")(lambda g: g.traversal().V().hasLabel("customer").values("c_acctbal").sum().df("total").select(F.round("total", 2).alias("total")))
 query("mean_step", "SELECT round(avg(c_acctbal), 6) AS mean FROM customer")(lambda g: g.traversal().V().hasLabel("customer").values("c_acctbal").mean().df("mean").select(F.round("mean", 6).alias("mean")))
@@ -127,7 +127,7 @@ traversal("repeat_emit", "SELECT c_nationkey + 2000000000000 AS value FROM custo
 traversal("simple_path", "SELECT count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey WHERE a.c_custkey <= 10", lambda g: g.V().hasLabel("customer").has("c_custkey", P.lte(10)).out("in_nation").in_("in_nation").hasLabel("customer").simplePath().count(), "n")
 traversal("cyclic_path", "SELECT count(*) AS n FROM customer WHERE c_custkey <= 10", lambda g: g.V().hasLabel("customer").has("c_custkey", P.lte(10)).out("in_nation").in_("in_nation").hasLabel("customer").cyclicPath().count(), "n")
 traversal("store_cap", "SELECT list(n_name ORDER BY n_nationkey) AS names FROM nation", lambda g: g.V().hasLabel("nation").values("n_name").aggregate("x").cap("x"), "names")
-traversal("coin_all", "SELECT n_nationkey FROM nation", lambda g: g.V().hasLabel("nation").coin(1.0), "n_nationkey")
+traversal("coin_all", "SELECT n_nationkey::BIGINT AS n_nationkey FROM nation", lambda g: g.V().hasLabel("nation").coin(1.0), "n_nationkey")
 query("sample_step")(lambda g: g.traversal().V().hasLabel("nation").sample(7).df("n_nationkey"))
 
 # -- pattern language --------------------------------------------------------------------------
@@ -141,7 +141,7 @@ gql("gql_not_exists", "MATCH (c:customer) WHERE NOT EXISTS { (c)-[:placed]->(o:o
 gql("gql_varlen", "MATCH (c:customer)-[:in_nation|in_region*1..2]->(x) WHERE c.c_custkey <= 25 RETURN c.c_custkey AS c, id(x) AS x", "SELECT c_custkey AS c, 2000000000000 + c_nationkey AS x FROM customer WHERE c_custkey <= 25 UNION ALL SELECT c_custkey, 1000000000000 + n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 25")
 gql("gql_with_agg", "MATCH (c:customer)-[:placed]->(o:order) WITH c, count(*) AS n, max(o.o_totalprice) AS m WHERE n >= 15 RETURN c.c_name AS c, n, m", "SELECT c_name AS c, count(*) AS n, max(o_totalprice) AS m FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name HAVING count(*) >= 15")
 gql("gql_unwind", "UNWIND [1, 2, 3] AS x MATCH (n:nation) WHERE n.n_regionkey = x RETURN x, n.n_name AS n", "SELECT n_regionkey::BIGINT AS x, n_name AS n FROM nation WHERE n_regionkey IN (1, 2, 3)")
-gql("gql_let_agg", "MATCH (n:nation) LET m = max(n.n_nationkey) RETURN n.n_name AS n, m - n.n_nationkey AS d", "SELECT n_name AS n, (SELECT max(n_nationkey) FROM nation) - n_nationkey AS d FROM nation")
+gql("gql_let_agg", "MATCH (n:nation) LET m = max(n.n_nationkey) RETURN n.n_name AS n, m - n.n_nationkey AS d", "SELECT n_name AS n, ((SELECT max(n_nationkey) FROM nation) - n_nationkey)::BIGINT AS d FROM nation")
 gql("gql_call_corr", "MATCH (n:nation) CALL { WITH n MATCH (c:customer)-[:in_nation]->(n) WHERE c.c_acctbal > 5000 RETURN count(*) AS k, max(c.c_acctbal) AS m } RETURN n.n_name AS n, k, m", "SELECT n_name AS n, count(c_custkey) AS k, max(c_acctbal) AS m FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 5000 GROUP BY 1")
 gql("gql_call_uncorr", "MATCH (r:region) CALL { MATCH (n:nation) RETURN count(*) AS k } RETURN r.r_name AS r, k", "SELECT r_name AS r, (SELECT count(*) FROM nation) AS k FROM region")
 gql("gql_union", "MATCH (c:customer) RETURN c.c_nationkey AS k UNION MATCH (s:supplier) RETURN s.s_nationkey AS k", "SELECT c_nationkey::BIGINT AS k FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -216,7 +216,7 @@ query("geo_polygon", f"SELECT c_custkey FROM ({_PLACE}) WHERE lat > 0 AND lat <
 query("gql_geo", f"SELECT c_custkey AS c, round(2 * 6371000 * asin(sqrt(least(1, pow(sin((radians(48.0) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(48.0)) * pow(sin((radians(11.0) - radians(lon)) / 2), 2)))) / 1000) AS km FROM ({_PLACE})")(lambda g: with_places(g).gql("MATCH (c:customer) RETURN c.c_custkey AS c, round(point.distance(c.place, point(11.0, 48.0)) / 1000) AS km"))
 
 # -- changes -----------------------------------------------------------------------------------
-query("mutate_set_delete", "SELECT n_nationkey AS k, CASE WHEN n_regionkey = 1 THEN n_name || '!' ELSE n_name END AS name FROM nation WHERE n_regionkey <> 2")(
+query("mutate_set_delete", "SELECT n_nationkey::BIGINT AS k, CASE WHEN n_regionkey = 1 THEN n_name || '!' ELSE n_name END AS name FROM nation WHERE n_regionkey <> 2")(
     lambda g: g.gql("MATCH (n:nation) WHERE n.n_regionkey = 1 SET n.n_name = n.n_name || '!'")[0].gql("MATCH (n:nation) WHERE n.n_regionkey = 2 DETACH DELETE n")[0].gql("MATCH (n:nation) RETURN n.n_nationkey AS k, n.n_name AS name")
 )
 query("merge_upsert", "SELECT n_name AS name, CASE WHEN n_nationkey = 3 THEN 'matched' END AS note FROM nation UNION ALL SELECT 'nowhere', 'created'")(
