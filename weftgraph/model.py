@@ -54,16 +54,29 @@ class PropertyGraph:
             if labels is not None and label not in labels:
                 continue
             own = {f.name: f.dataType for f in df.schema.fields}
-            cols = [F.col(c).cast("long").alias(c) for c in fixed] + [F.lit(label).alias("label")]
-            cols.append(F.col("__keys") if "__keys" in own else F.lit(None).cast("array<string>").alias("__keys"))
-            for k, t in types.items():
-                cols.append((V.as_common(F.col(f"`{k}`"), own[k], t) if k in own else F.lit(None).cast(t)).alias(k))
-            parts.append(df.select(*cols))
+            cols = [f"CAST({c} AS BIGINT) AS {c}" for c in fixed] + ["'" + label.replace("'", "\\'") + "' AS label"]
+            cols.append("__keys" if "__keys" in own else "CAST(NULL AS ARRAY<STRING>) AS __keys")
+            for k, t in types.items():  # text, not Column objects: one call to the JVM for the whole list
+                if k in own and t == V.TAG:
+                    cols.append(V.tagged(F.col(f"`{k}`"), own[k]).alias(k))
+                else:
+                    cols.append(f"CAST({f'`{k}`' if k in own else 'NULL'} AS {t.simpleString()}) AS `{k}`")
+            parts.append(df.selectExpr(*cols) if all(isinstance(c, str) for c in cols) else df.select(*(F.expr(c) if isinstance(c, str) else c for c in cols)))
         if not parts:
             fields = [T.StructField(c, T.LongType()) for c in fixed] + [T.StructField("label", T.StringType()), T.StructField("__keys", T.ArrayType(T.StringType()))]
             return self.spark.createDataFrame([], T.StructType(fields + [T.StructField(k, t) for k, t in types.items()]))
         return reduce(DataFrame.union, parts)
 
+    def focused(self, keys: set | None) -> PropertyGraph:
+        """The graph with no other properties than ``keys``: what a query can't read, its plan doesn't hold."""
+        if keys is None:
+            return self
+
+        def narrow(tables):
+            return {label: df.select(*(f"`{c}`" for c in df.columns if c in SYSTEM or c in keys)) for label, df in tables.items()}
+
+        return replace(self, vertices=narrow(self.vertices), edges=narrow(self.edges))
+
     def labels(self, element: str) -> list[str]:
         return list(self._tables(element))
 

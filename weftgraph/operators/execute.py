@@ -203,10 +203,34 @@ def labels_used(steps) -> set:
 # -- running -----------------------------------------------------------------------------------
 
 
-def run(t: Traversal) -> State:
+WHOLE = {"valueMap", "elementMap", "propertyMap", "properties", "map", "flatMap", "filter", "searchTextV", "searchTextE"}
+
+
+def keys_read(steps) -> set | None:
+    """Properties that the steps may read: every name among their arguments; None for all."""
+    out: set = set()
+    for s in steps:
+        if s.name in WHOLE or (s.name == "values" and not s.args):
+            return None
+        for a in (*s.args, *(x for _, args in s.mods for x in args)):
+            for x in a if isinstance(a, (list, tuple)) else (a,):
+                if isinstance(x, str):
+                    out.add(x)
+        for t in nested(s):
+            inner = keys_read(t.steps)
+            if inner is None:
+                return None
+            out |= inner
+    return out
+
+
+def run(t: Traversal, asked: tuple | None = None) -> State:
+    """``asked``: the properties of a resulting element that will be shown; None for all."""
     if t.graph is None:
         raise ValueError("an anonymous traversal can't run on its own")
-    return walk(start(t.graph, t.steps), t.steps[1:])
+    keys = keys_read(t.steps)
+    keys = None if keys is None or asked is None else keys | set(asked)
+    return walk(start(t.graph.focused(keys), t.steps), t.steps[1:])
 
 
 def start(graph, steps) -> State:
@@ -223,11 +247,12 @@ def start(graph, steps) -> State:
         s = replace(base, df=df, kind="x", vtype=vtype, order=[("_o", False)] if sensitive else [])
     elif first.name in ("V", "E"):
         kind = first.name.lower()
-        view = graph.view(kind)
         ids = [a for x in first.args for a in (x if isinstance(x, (list, tuple)) else [x])]
+        wanted = frozenset(steps[1].args) if len(steps) > 1 and steps[1].name == "hasLabel" else None
+        view = graph.view(kind, wanted)
         if ids:
             view = view.filter(F.col("id").isin(*ids))
-        s = scan(base, view, kind)
+        s = scan(base, view, kind, wanted)
     elif first.name in ("searchTextV", "searchTextE"):
         from weftgraph.operators.textsearch import hits
 
@@ -241,17 +266,17 @@ def start(graph, steps) -> State:
     return tracked(s) if path else s
 
 
-def scan(base: State, view: DataFrame, kind: str) -> State:
+def scan(base: State, view: DataFrame, kind: str, labels: frozenset | None = None) -> State:
     fixed = [F.col("id").alias("_id"), F.col("label").alias("_label"), F.col("__keys")]
     if kind == "e":
         fixed += [F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.lit(None).cast("long").alias("_prev")]
-    types = base.graph.properties(kind)
+    types = base.graph.properties(kind, labels)
     df = view.select(*fixed, *(F.col(f"`{k}`").alias(f"p:{k}") for k in types))
     order = []
     if base.need_order:
         df = df.withColumn("_o", F.col("_id"))
         order = [("_o", False)]
-    return replace(base, df=df, kind=kind, loaded=True, order=order)
+    return replace(base, df=df, kind=kind, labels=labels, loaded=True, order=order)
 
 
 PATH_ITEM = "struct<k:string,id:bigint,v:string>"

@@ -59,7 +59,30 @@ def run_gql(graph, text: str, params: dict | None = None):
         from weftgraph.operators.mutation import run_mutation
 
         return run_mutation(graph, query, params or {})
-    return compile_query(graph, query, params or {})
+    return compile_query(graph.focused(keys_read(query)), query, params or {})
+
+
+def keys_read(query: Query) -> set | None:
+    """Property names that the query may read; None for all."""
+    out: set = set()
+    stack: list = [query]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, Query):
+            stack += [*x.clauses, *(b for _, b in x.branches)]
+        elif isinstance(x, Pattern):
+            for item in (*x.nodes, *x.edges):
+                out |= item.props.keys()
+                stack += [*item.props.values(), *([item.where] if item.where is not None else [])]
+        elif isinstance(x, dict):
+            stack += list(x.values())
+        elif isinstance(x, (tuple, list)):
+            if len(x) == 3 and x[0] == "prop" and isinstance(x[2], str):
+                out.add(x[2])
+            if x and (x[0] == "procedure" or (x[0] == "call" and x[1] == "PROPERTIES")):
+                return None
+            stack += list(x)
+    return out
 
 
 def compile_query(graph, query: Query, params: dict, outer: Rows | None = None) -> DataFrame:

@@ -81,22 +81,22 @@ class Traversal:
         return self._with(Step("shortestPath", (target,), [("by", (weight,))]))
 
     # -- terminals -----------------------------------------------------------------------------
-    def _run(self):
+    def _run(self, asked=None):
         from weftgraph.operators.execute import run
 
-        return run(self)
+        return run(self, asked)
 
     def df(self, *columns: str):
         """The result as a DataFrame: properties of elements, keys of maps, or ``value``."""
-        return self._run().frame(*columns)
+        return self._run(columns or None).frame(*columns)
 
     def to_list(self) -> list:
-        return self._run().collect()
+        return self._run(()).collect()
 
     toList = to_list
 
     def to_set(self) -> set:
-        return set(self._run().distinct().collect())
+        return set(self._run(()).distinct().collect())
 
     toSet = to_set
 
@@ -115,16 +115,16 @@ class Traversal:
         return found[0]
 
     def has_next(self) -> bool:
-        return not self._run().df.isEmpty()
+        return not self._run(()).df.isEmpty()
 
     hasNext = has_next
 
     def iterate(self) -> None:
-        self._run().df.write.format("noop").mode("overwrite").save()
+        self._run(()).df.write.format("noop").mode("overwrite").save()
 
     def iter(self):
         """Values one partition at a time."""
-        return self._run().stream()
+        return self._run(()).stream()
 
     def traversers(self):
         return self._run().df.toLocalIterator()

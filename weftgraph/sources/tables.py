@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,20 @@ def _vertices(df: DataFrame, label: str, key: str) -> DataFrame:
     return df.select(vid(label, key).alias("id"), *(F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
+@lru_cache(maxsize=4)
+def _graph(application: str, sf_dir: str) -> PropertyGraph:
+    return _build(SparkSession.active(), sf_dir)
+
+
 def graph_of(spark: SparkSession, sf_dir: str) -> PropertyGraph:
-    """Vertices and edges over region, nation, customer, supplier, part, orders, lineitem, events and documents."""
+    """Vertices and edges over region, nation, customer, supplier, part, orders, lineitem, events and documents.
+
+    Plans alone are kept for a session and folder, so that footers are read once; data are read by every query.
+    """
+    return _graph(spark.sparkContext.applicationId, sf_dir)
+
+
+def _build(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")}
     vertices = {label: _vertices(t[name], label, key) for label, name, key in (("region", "region", "r_regionkey"), ("nation", "nation", "n_nationkey"), ("customer", "customer", "c_custkey"), ("supplier", "supplier", "s_suppkey"), ("part", "part", "p_partkey"), ("order", "orders", "o_orderkey"), ("document", "documents", "doc_id"))}
     vertices["user"] = _vertices(t["events"].select("user_id").distinct(), "user", "user_id")
