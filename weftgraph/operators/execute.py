@@ -1067,8 +1067,7 @@ def together(states: list[State]) -> State:
     for n, x in enumerate(states):
         cols = [F.col(_q(c)) for c in keep]
         if base.need_order:
-            shared = [(c, d) for c, d in base.order if any(c == y for y, _ in x.order)]
-            cols += [F.struct(*(F.col(_q(c)) for c, _ in shared)).alias(rank) if False else F.lit(n).alias(branch)]
+            cols.append(F.lit(n).alias(branch))
         if x.kind == "x":
             cols.append(V.as_common(F.col("_val"), x.vtype, vtype).alias("_val"))
         else:
