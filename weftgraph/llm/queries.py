@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
 from weftgraph.llm import best_fit, bpe_tree, divergence, html_mincut, order_minhash, ppm, simhash_gph, toxicity_cnn, url_trie, warc
 from weftgraph.llm.runtime import scratch, table
