@@ -41,7 +41,7 @@ ORDER = 6
 NODES = 1 << 21
 HOT_WORDS = 1 << 18
 START, END, SYMBOLS = 0xFE, 0xFF, 255
-_FLUSH_GRAMS, _FLUSH_WORDS = 3_000_000, 250_000
+_FLUSH_GRAMS, _FLUSH_WORDS = 2_000_000, 200_000
 
 
 def symbols(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ def gather(train: DataFrame) -> DataFrame:
         words, grams, held = Counter(), [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, 1_000_000):
                 for t in texts[a:b]:
                     words.update(t.encode().lower().split())
                 keys, counts = np.unique(symbols(texts[a:b])[0], return_counts=True)
@@ -237,9 +237,9 @@ def score(docs: DataFrame, held_out, key: str = "doc_id") -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), own, *(pa.array(x, k) for x, k in zip((n_tokens, known, base, scores, [0] * len(part)), kinds, strict=True))], names)
                 if rare_row:
-                    many = part.take(pa.array(rare_row))
+                    at = pa.array(rare_row, pa.int32())
                     empty = [pa.nulls(len(rare_row), k) for k in kinds[:4]]
-                    yield pa.RecordBatch.from_arrays([many.column(0), many.column(1), many.column(3), pa.array(rare_word, pa.binary()).cast(pa.string()), *empty, pa.array(rare_n, pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(3).take(at), pa.array(rare_word, pa.binary()).cast(pa.string()), *empty, pa.array(rare_n, pa.int64())], names)
 
     names = ["row", "id", "held", "word", "n_tokens", "known", "base", "score", "times"]
     ready = src.select(F.monotonically_increasing_id().alias("row"), "id", "text", "held")
