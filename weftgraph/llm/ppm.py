@@ -41,7 +41,9 @@ ORDER = 6
 NODES = 1 << 21
 HOT_WORDS = 1 << 18
 START, END, SYMBOLS = 0xFE, 0xFF, 255
-_FLUSH_GRAMS, _FLUSH_WORDS = 2_000_000, 200_000
+_FLUSH_GRAMS, _FLUSH_WORDS = 1_000_000, 100_000
+_ROWS = 400  # texts that are Python strings at once
+_OUT = 100_000  # rows of an outgoing batch
 
 
 def symbols(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +73,13 @@ def gather(train: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.binary()).cast(pa.string()), pa.nulls(len(words), pa.int64()), pa.array(words.values(), pa.int64())], ["word", "gram", "n"])
         if grams:
             keys, counts = merge(grams)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "gram", "n"])
+            for s in range(0, len(keys), _OUT):
+                k, c = keys[s : s + _OUT], counts[s : s + _OUT]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(c)], ["word", "gram", "n"])
 
     def run(batches):
         words, grams, held = Counter(), [], 0
-        for batch in batches:
+        for batch in (b.slice(s, _ROWS) for b in batches for s in range(0, b.num_rows, _ROWS)):
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, 1_000_000):
                 for t in texts[a:b]:
@@ -210,7 +214,7 @@ def score(docs: DataFrame, held_out, key: str = "doc_id") -> DataFrame:
         trie, common = shared.value
         scorer = Scorer(trie)
         look = common.get
-        for batch in batches:
+        for batch in (b.slice(s, _ROWS) for b in batches for s in range(0, b.num_rows, _ROWS)):
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts, 1_000_000):
                 scores = scorer.totals(texts[a:b])
