@@ -58,6 +58,13 @@ def test_html_main_text():
     assert html_mincut.main_text("") == ""
 
 
+def test_html_unclosed_markup():
+    head = "<article><p>Some words here, enough to read.</p>"
+    assert html_mincut.main_text(head + "<!-- never closed <p>lost</p>") == "Some words here, enough to read."
+    assert html_mincut.blocks(head + "<!-->lost")[-1][0] == "Some words here, enough to read."
+    assert len(html_mincut.blocks(head + "<a " * 200_000)) == 2  # in linear time
+
+
 def test_html_min_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):

@@ -46,6 +46,7 @@ NAMES = [
 ROLES = {"navigation": -6.0, "banner": -4.0, "contentinfo": -6.0, "complementary": -5.0, "search": -6.0, "form": -6.0, "dialog": -5.0, "alert": -5.0, "main": 2.5, "article": 2.5, "menu": -5.0}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_UNCLOSED = re.compile("<[!?]")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _STOPS = re.compile(r"[.!?;:,](?:\s|$)")
@@ -91,10 +92,12 @@ def blocks(html: str) -> list[tuple[str, float, tuple[int, ...], float]]:
         links -= sum(1 for s in stack[at:] if s[0] == "a")
         del stack[at:]
 
-    at, size = 0, len(html)
+    edge = html.rfind(">") + 1  # no tag ends beyond it, so none is looked for there
+    cut = _UNCLOSED.search(html, edge)
+    at, size = 0, cut.start() if cut else len(html)
     for_tag = _TAG.search
     while at < size:
-        m = for_tag(html, at)
+        m = for_tag(html, at, edge)
         stop = m.start() if m else size
         if stop > at:
             piece = html[at:stop]
@@ -106,6 +109,8 @@ def blocks(html: str) -> list[tuple[str, float, tuple[int, ...], float]]:
             break
         at = m.end()
         if not m[2]:
+            if at == edge and m[0].startswith("<!--") and not m[0][4:].endswith("-->"):
+                at = size
             continue
         name = m[2].lower()
         if m[1]:
