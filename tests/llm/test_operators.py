@@ -308,6 +308,23 @@ def test_order_minhash(spark, docs):
     assert order_minhash.fingerprints(one).first().near_next == 1.0
 
 
+@pytest.mark.parametrize("border", [64, 512, 1024, 4096, 8192])
+def test_order_minhash_across_a_power_of_two(border):
+    rng = random.Random(border)
+    text = words(rng, border, 5_000)[: border + order_minhash.K - 1]
+    s = lambda t: order_minhash.sketch(order_minhash.codes_of(t))
+    for cut in range(-1, 2):
+        one = text[: len(text) + cut] + "." * (cut > 0)
+        assert order_minhash.likeness(s(one), s(one + "x")) > 0.85
+
+
+def test_order_minhash_order():
+    rng = np.random.default_rng(1)
+    for n, high in ((1, 1), (500, 3), (500, 2**63), (3_000, 1_000)):
+        keys = rng.integers(0, high, n).astype(np.uint64)
+        assert (order_minhash.order(keys) == np.lexsort((np.arange(n), keys))).all()
+
+
 def test_order_minhash_sees_order():
     rng = random.Random(7)
     a, b = words(rng, 60), words(rng, 60)

@@ -48,23 +48,31 @@ def kmers(codes: np.ndarray, k: int = K) -> np.ndarray:
     return _mix(h)
 
 
+def order(keys: np.ndarray) -> np.ndarray:
+    """Positions by all 64 bits of the key, equal keys by position; nothing depends on how many keys there are."""
+    at = np.argsort(keys)
+    ranked = keys[at]
+    new = ranked[1:] != ranked[:-1]
+    if new.all():
+        return at
+    group = np.concatenate([[0], np.cumsum(new)])
+    return np.sort((group << 32) | at) & 0xFFFFFFFF  # texts have fewer than 2^31 code points
+
+
 def sketch(codes: np.ndarray) -> np.ndarray:
     """The fingerprint of a text's code points: SLOTS numbers of 16 bits, all zero for the empty text."""
     if not len(codes):
         return np.zeros(SLOTS, np.uint16)
     h = kmers(codes)
     n = len(h)
-    low = np.uint64((1 << max(1, n - 1).bit_length()) - 1)  # room for a position
-    places = np.arange(n, dtype=np.uint64)
-    ranked = np.sort((h & ~low) | places)  # equal k-mers in text order
-    same, at = ranked & ~low, (ranked & low).astype(np.int64)
+    at = order(h)  # equal k-mers in text order
+    same = h[at]
     first = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]]))
     occurrence = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
     numbered = np.empty(n, np.uint64)
     numbered[at] = _mix(same + occurrence.astype(np.uint64) * _PRIME + np.uint64(1))
-    ring = np.sort((numbered & ~low) | places)
-    where = (ring & low).astype(np.int64)
-    start = np.searchsorted(ring, _RING)
+    where = order(numbered)
+    start = np.searchsorted(numbered[where], _RING)
     picked = np.sort(where[(start[:, None] + np.arange(min(PICKED, n))) % n], axis=1)
     out = np.full(SLOTS, np.uint64(min(PICKED, n)))
     for c in range(picked.shape[1]):
