@@ -417,6 +417,32 @@ def test_ppm_trie_against_plain_ppm(least):
         assert (10 ** trie.log10(keys)).sum() == pytest.approx(1)
 
 
+@pytest.mark.parametrize("hot", [1, 64, 1 << 21])
+def test_ppm_scores_do_not_depend_on_the_cache(spark, docs, hot, monkeypatch):
+    monkeypatch.setattr(ppm, "HOT_GRAMS", hot)
+    monkeypatch.setattr(ppm, "_BUCKET", 500)
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    train = [t for i, t in rows if not held(i)]
+    nodes = []
+    keys, counts = np.unique(ppm.symbols(train)[0], return_counts=True)
+    for j in range(ppm.ORDER + 1):
+        nodes.append(ppm.merge([(keys & np.uint64((1 << 8 * (j + 1)) - 1), counts)]))
+    scorer = ppm.Scorer(ppm.Trie(nodes, len(train), int(counts.sum())), bits=8)
+    want = sorted((str(i), round(float(x), 4)) for (i, _), x in zip(rows, scorer.totals([t for _, t in rows]), strict=True))
+    out = ppm.score(docs, ppm.crc_mod("doc_id", 7) == 2).collect()
+    ours = sorted((str(r.doc_id), round(r.score, 4)) for r in out)
+    assert [i for i, _ in ours] == [i for i, _ in want]
+    assert [x for _, x in ours] == pytest.approx([x for _, x in want], abs=1e-3)
+
+
+def test_ppm_rare_contexts_stay_in_the_model(spark):
+    text = "common words here " * 3_000  # pads the corpus
+    seldom = "qz xk vj"
+    score = lambda pad: {r.doc_id: r.score for r in ppm.score(spark.createDataFrame([(i, t) for i, t in enumerate([seldom] * 2 + [text] * pad)], "doc_id long, text string"), F.col("doc_id") == 0).collect()}[0]
+    assert score(40) > score(1) - 9
+
+
 # 9
 def test_warc_round_trip(spark, tmp_path):
     rng = random.Random(9)

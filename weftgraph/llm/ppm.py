@@ -7,11 +7,13 @@ counts as the context has distinct symbols), and then in the next shorter contex
 that the longer one has already ruled out; at last all bytes are alike. Code lengths add up to the
 document's log10 probability.
 
-Size: only nodes whose count is at least 1 / ``NODES`` of all training symbols are kept, so no order has
-more than ``NODES`` nodes, whatever the corpus's size; that bounds what is broadcast. What is pruned
-from a context counts as escape, so probabilities add up to 1 exactly. A node's shorter contexts have
-at least its count, so the kept nodes are closed under shortening, and a context's excluded symbols
-are those of the next longer context alone; that makes exclusion a stored number.
+Size: every n-gram of the training documents is a node, at any corpus size. N-grams are dealt into
+buckets by the last ``NEAR`` bytes of their context; with the nodes of the ``NEAR`` shortest orders, which
+no corpus makes many and which are broadcast, a bucket holds all that its n-grams' scores depend on. The
+scores of n-grams that make up at least 1 / ``HOT_GRAMS`` of all training symbols (``HOT_GRAMS`` at most)
+are broadcast as a cache; all others of all documents are shuffled to their bucket, already summed by
+document. A node's shorter contexts are nodes, so a context's excluded symbols are those of the next longer
+context alone; that makes exclusion a stored number.
 
 Counts are taken over all training documents: n-grams and words are added up in each task, then by one
 shuffle. Words (for the base score) that make up at least 1 / ``HOT_WORDS`` of all tokens are broadcast
@@ -38,12 +40,14 @@ from pyspark.sql import functions as F
 from weftgraph.llm.runtime import only, settle, slices, text_of
 
 ORDER = 6
-NODES = 1 << 21
+NEAR = 3
+HOT_GRAMS = 1 << 21
 HOT_WORDS = 1 << 18
 START, END, SYMBOLS = 0xFE, 0xFF, 255
 _FLUSH_GRAMS, _FLUSH_WORDS = 1_000_000, 100_000
 _ROWS = 400  # texts that are Python strings at once
 _OUT = 100_000  # rows of an outgoing batch
+_BUCKET = 200_000  # n-grams of a bucket, on average
 
 
 def symbols(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +104,12 @@ def gather(train: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """Kept nodes of each order as sorted arrays; see the module for what the numbers mean."""
+    """Kept nodes of each order as sorted arrays, after those of ``base``; see the module for what the numbers mean."""
 
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], documents: int, seen: int):
-        self.levels = []
-        below = None
-        for j, (keys, counts) in enumerate(nodes):  # shortest contexts first
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], documents: int, seen: int, base: Trie | None = None):
+        self.levels = list(base.levels) if base else []
+        below = self.levels[-1][:2] if self.levels else None
+        for j, (keys, counts) in enumerate(nodes, len(self.levels)):  # shortest contexts first
             context = keys >> np.uint64(8)
             first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, int)
             names = context[first]
@@ -114,9 +118,12 @@ class Trie:
             if j == 0:
                 total, out = np.full(len(names), seen), np.zeros(len(names), np.int64)
             else:
-                at = np.searchsorted(below[0], names)
-                at = np.minimum(at, len(below[0]) - 1)
-                total = np.where(below[0][at] == names, below[1][at], documents)  # a context of start symbols alone: every text's first
+                if base:  # nothing is pruned, and the context as an n-gram of its own may be in another bucket
+                    total = kept
+                else:
+                    at = np.searchsorted(below[0], names)
+                    at = np.minimum(at, len(below[0]) - 1)
+                    total = np.where(below[0][at] == names, below[1][at], documents)  # a context of start symbols alone: every text's first
                 lower = keys & np.uint64((1 << (8 * j)) - 1)
                 out = np.add.reduceat(below[1][np.searchsorted(below[0], lower)], first) if len(keys) else counts
             self.levels.append([keys, counts, names, total, kept, distinct, out])
@@ -175,20 +182,89 @@ class Scorer:
         return np.add.reduceat(out, np.concatenate([[0], np.cumsum(sizes)[:-1]])) if len(sizes) else np.empty(0)
 
 
-def train_trie(grams: DataFrame, documents: int) -> Trie:
-    """The trie from n-gram counts (gram, n); every order's nodes are bounded by ``NODES``."""
-    seen = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-seen // NODES))
+class Cache:
+    """Scores of common (context, symbol) keys, sorted."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
+
+    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's total over cached keys, and (text, key, times) of all others."""
+        keys, sizes = symbols(texts)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        order = np.argsort(keys, kind="stable")  # so equal keys are by text
+        keys, text = keys[order], text[order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])])) if len(keys) else np.empty(0, int)
+        times, keys, text = np.diff(np.append(first, len(keys))), keys[first], text[first]
+        at = np.searchsorted(self.keys, keys)
+        hit = np.zeros(len(keys), bool)
+        if len(self.keys):
+            at = np.minimum(at, len(self.keys) - 1)
+            hit = self.keys[at] == keys
+        total = np.bincount(text[hit], self.values[at[hit]] * times[hit], len(texts))
+        return total, text[~hit], keys[~hit], times[~hit]
+
+
+def near_trie(grams: DataFrame, documents: int, seen: int) -> Trie:
+    """The nodes of the ``NEAR`` shortest orders; their number is bounded by the bytes that follow one another."""
     nodes = []
-    for j in range(ORDER + 1):
-        key = F.col("gram").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)) if j < ORDER else F.col("gram")
-        found = grams.groupBy(key.alias("gram")).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()  # NODES rows at most
+    for j in range(NEAR):
+        found = grams.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
         keys, counts = found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
         order = np.argsort(keys)
         nodes.append((keys[order], counts[order]))
     return Trie(nodes, documents, seen)
 
 
+def bucket_trie(keys: np.ndarray, counts: np.ndarray, near: Trie, documents: int, seen: int) -> Trie:
+    """The whole trie for the contexts of a bucket, from all its n-grams."""
+    return Trie([merge([(keys & np.uint64((1 << (8 * (j + 1))) - 1), counts)]) for j in range(NEAR, ORDER + 1)], documents, seen, near)
+
+
+def by_bucket(rows: DataFrame, near, documents: int, seen: int, buckets: int, parts: int) -> DataFrame:
+    """(row, gram, score) for rows (gram, n, row, times): training n-grams have n, looked-up ones times.
+
+    Looked-up rows with a row are summed by it within a batch; those without leave with their n-gram.
+    """
+
+    def run(batches):
+        now, held, trie = None, [], None
+
+        def scored(keys, row, times):
+            score = trie.log10(keys)
+            if row is None:
+                return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(keys.view(np.int64)), pa.array(score)], names)
+            who, which = np.unique(row, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(np.bincount(which, score * times, len(who)))], names)
+
+        for batch in batches:
+            place = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else []
+            for a, b in zip(starts, [*starts[1:], len(place)], strict=True):
+                if place[a] != now:
+                    now, held, trie = place[a], [], None
+                part = batch.slice(a, b - a)
+                keys, n, times = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2, 4))
+                keys = keys.view(np.uint64)
+                asked = times > 0
+                if not asked.all():
+                    held.append((keys[~asked], n[~asked]))
+                if asked.any():
+                    if trie is None:
+                        empty = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
+                        trie, held = bucket_trie(*merge(held or empty), near.value, documents, seen), []
+                    row = part.column(3).to_numpy(zero_copy_only=False)[asked]
+                    inside = row >= 0
+                    for those, own in ((inside, row[inside]), (~inside, None)):
+                        if those.any():
+                            yield scored(keys[asked][those], own, times[asked][those])
+
+    names = ["row", "gram", "score"]
+    place = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << (8 * NEAR)) - 1))), F.lit(buckets)).cast("int").alias("place")
+    dealt = rows.select(place, "gram", "n", "row", "times").repartition(parts, "place").sortWithinPartitions("place", F.col("times") > 0)
+    return dealt.mapInArrow(run, "row long, gram long, score double")
+
+
 def crc_mod(key: str, mod: int):
     """crc32 of the key as text, modulo ``mod``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod
@@ -206,18 +282,26 @@ def score(docs: DataFrame, held_out, key: str = "doc_id") -> DataFrame:
     least = max(1, -(-tokens // HOT_WORDS))
     hot = words.filter((F.col("n") >= least) & (F.octet_length("word") <= 64)).toPandas()  # HOT_WORDS rows at most
     common = {w.encode(): float(v) for w, v in zip(hot["word"], np.log10(hot["n"].to_numpy(np.float64) + 1), strict=True)}
-    trie = train_trie(gathered.filter("word IS NULL").select("gram", "n"), documents)
-    shared = spark.sparkContext.broadcast((trie, common))
+    grams = gathered.filter("word IS NULL").select("gram", "n")
+    seen, kinds_of = grams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    near = spark.sparkContext.broadcast(near_trie(grams, documents, seen))
+    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts_n, kinds_of // _BUCKET)
+    trained = grams.select("gram", "n", F.lit(-1).cast("long").alias("row"), F.lit(0).cast("long").alias("times"))
+    wanted = grams.filter(F.col("n") >= max(1, -(-seen // HOT_GRAMS))).select("gram", F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("row"), F.lit(1).cast("long").alias("times"))
+    cached = by_bucket(trained.union(wanted), near, documents, seen, buckets, parts_n).select("gram", "score").toPandas()  # HOT_GRAMS rows at most
+    cached = cached.sort_values("gram")
+    shared = spark.sparkContext.broadcast((cached["gram"].to_numpy(np.int64).view(np.uint64), cached["score"].to_numpy(np.float64), common))
     end = float(np.log10(documents + 1))
 
     def run(batches):
-        trie, common = shared.value
-        scorer = Scorer(trie)
+        known_keys, known_scores, common = shared.value
+        cache = Cache(known_keys, known_scores)
         look = common.get
         for batch in (b.slice(s, _ROWS) for b in batches for s in range(0, b.num_rows, _ROWS)):
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts, 1_000_000):
-                scores = scorer.totals(texts[a:b])
+                scores, cold_row, cold_gram, cold_n = cache.totals(texts[a:b])
                 n_tokens, known, base = [], [], []
                 rare_row, rare_word, rare_n = [], [], []
                 for i, t in enumerate(texts[a:b]):
@@ -239,17 +323,24 @@ def score(docs: DataFrame, held_out, key: str = "doc_id") -> DataFrame:
                 part = batch.slice(a, b - a)
                 own = pa.array([f" {x}".encode() for x in part.column(0).to_pylist()], pa.binary()).cast(pa.string())
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), own, *(pa.array(x, k) for x, k in zip((n_tokens, known, base, scores, [0] * len(part)), kinds, strict=True))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), own, *(pa.array(x, k) for x, k in zip((n_tokens, known, base, scores, [0] * len(part)), kinds, strict=True)), pa.nulls(len(part), pa.int64())], names)
                 if rare_row:
                     at = pa.array(rare_row, pa.int32())
                     empty = [pa.nulls(len(rare_row), k) for k in kinds[:4]]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(3).take(at), pa.array(rare_word, pa.binary()).cast(pa.string()), *empty, pa.array(rare_n, pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), part.column(3).take(at), pa.array(rare_word, pa.binary()).cast(pa.string()), *empty, pa.array(rare_n, pa.int64()), pa.nulls(len(rare_row), pa.int64())], names)
+                for s in range(0, len(cold_row), _OUT):
+                    at, some = pa.array(cold_row[s : s + _OUT]), len(cold_row[s : s + _OUT])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), *(pa.nulls(some, k) for k in (part.column(1).type, part.column(3).type, pa.string(), *kinds[:4])), pa.array(cold_n[s : s + _OUT]), pa.array(cold_gram[s : s + _OUT].view(np.int64))], names)
 
-    names = ["row", "id", "held", "word", "n_tokens", "known", "base", "score", "times"]
+    names = ["row", "id", "held", "word", "n_tokens", "known", "base", "score", "times", "gram"]
     ready = src.select(F.monotonically_increasing_id().alias("row"), "id", "text", "held")
     kind = dict(ready.dtypes)["id"]
-    parts = ready.mapInArrow(run, f"row long, id {kind}, held boolean, word string, n_tokens long, known long, base double, score double, times long")
+    parts = ready.mapInArrow(run, f"row long, id {kind}, held boolean, word string, n_tokens long, known long, base double, score double, times long, gram long")
+    parts = settle(parts, "parts")
+    asked = parts.filter("gram IS NOT NULL").select("gram", F.lit(0).cast("long").alias("n"), "row", "times")
+    gained = by_bucket(trained.union(asked), near, documents, seen, buckets, parts_n).select("row", "score")
     rare = words.filter(~((F.col("n") >= least) & (F.octet_length("word") <= 64))).withColumnRenamed("n", "c")
-    met = parts.join(rare, "word", "left").withColumns({"known": F.coalesce("known", F.when(F.col("c").isNotNull(), F.col("times")), F.lit(0)), "base": F.coalesce("base", F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)))})
+    met = parts.filter("gram IS NULL").join(rare, "word", "left").withColumns({"known": F.coalesce("known", F.when(F.col("c").isNotNull(), F.col("times")), F.lit(0)), "base": F.coalesce("base", F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)))})
+    met = met.select("row", "id", "held", "n_tokens", "known", "base", "score").unionByName(gained, allowMissingColumns=True)
     summed = met.groupBy("row").agg(F.max("id").alias(key), F.max("held").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("gain"), F.sum("score").alias("score"))
     return summed.select(key, "held_out", "n_tokens", "n_known", F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("gain") - F.col("n_tokens") * F.lit(float(np.log10(tokens + distinct + 1)))).alias("base_score"), "score")
