@@ -4,7 +4,8 @@ import pytest
 
 from weftgraph.model import PropertyGraph
 from weftgraph.plans.traversal import P, __
-from weftgraph.sources import graphson, saved, store
+from weftgraph.operators import algorithms
+from weftgraph.sources import graphson, saved, store, tables
 from weftgraph.plans.traversal_text import run_script
 
 VERTICES = [
@@ -159,3 +160,13 @@ def test_script(graph):
     after, n = run_script(graph, "x = g.addV('person').property('name', 'Eve').next(); g.addE('knows').from(__.V(0)).to(__.V(6)); g.V(0).out('knows').count().next()")
     assert n == 2
     assert graph.traversal().V().count().next() == 6
+
+
+def test_line_items_have_ids_of_their_own(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "documents"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{sf}/{t}.parquet")
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    line.union(line.limit(50)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    ids = tables.graph_of(spark, str(tmp_path)).view("e").select("id")
+    assert ids.count() == ids.distinct().count()
