@@ -170,3 +170,11 @@ def test_line_items_have_ids_of_their_own(spark, tmp_path):
     line.union(line.limit(50)).write.parquet(str(tmp_path / "lineitem.parquet"))
     ids = tables.graph_of(spark, str(tmp_path)).view("e").select("id")
     assert ids.count() == ids.distinct().count()
+
+
+def test_astar_reads_the_heuristic_of_all_reached_vertices(spark, monkeypatch):
+    monkeypatch.setattr(algorithms, "MAX_LOCAL_EDGES", 4)
+    guesses = {0: 7.0, 2: 6.0, 10: 1.0, 11: 1.0, 12: 1.0, 13: 1.0, 1: 5.0, 3: 0.0}
+    edges = [(0, 1, 4.0), (0, 2, 1.0), (2, 1, 1.0), (1, 3, 5.0)]
+    g = PropertyGraph.from_rows(spark, [dict(id=i, label="n", h=h) for i, h in guesses.items()], [dict(id=n, label="e", src=a, dst=b, w=w) for n, (a, b, w) in enumerate(edges)])
+    assert algorithms.astar(g, 0, 3, "w", "h") == (7.0, [0, 2, 1, 3])

@@ -219,10 +219,13 @@ def k_shortest_paths(graph, source: int, target: int, k: int, weight: str | None
 def astar(graph, source: int, target: int, weight: str, heuristic, labels=None, direction: str = "out") -> tuple[float, list[int]] | None:
     """A cheapest path; ``heuristic`` is a vertex property or a function of the id."""
     guess = heuristic
+    after = _adjacency(graph, Walks(direction, labels, weight), source)
     if isinstance(heuristic, str):
-        known = {r[0]: r[1] for r in graph.view("v").select("id", F.col(f"`{heuristic}`").cast("double")).filter(F.col(heuristic).isNotNull()).limit(MAX_LOCAL_EDGES).collect()}
+        reached = {source, *after, *(b for near in after.values() for _, b in near)}  # as many as the checked edges and one
+        ids = graph.spark.createDataFrame([(v,) for v in reached], "id long")
+        known = {r[0]: r[1] for r in graph.view("v").select("id", F.col(f"`{heuristic}`").cast("double")).filter(F.col(heuristic).isNotNull()).join(ids, "id", "left_semi").collect()}
         guess = lambda v: known.get(v, 0.0)
-    return _cheapest(_adjacency(graph, Walks(direction, labels, weight), source), source, target, set(), set(), guess)
+    return _cheapest(after, source, target, set(), set(), guess)
 
 
 def step_result(s, step):
