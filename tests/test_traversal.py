@@ -1,10 +1,12 @@
 """Every traversal step over a small graph, with results derived by hand."""
 
+import inspect
+
 import pytest
 
 from weftgraph.model import PropertyGraph
 from weftgraph.plans.traversal import P, __
-from weftgraph.operators import algorithms
+from weftgraph.operators import algorithms, rounds
 from weftgraph.sources import graphson, saved, store, tables
 from weftgraph.plans.traversal_text import run_script
 
@@ -178,3 +180,14 @@ def test_astar_reads_the_heuristic_of_all_reached_vertices(spark, monkeypatch):
     edges = [(0, 1, 4.0), (0, 2, 1.0), (2, 1, 1.0), (1, 3, 5.0)]
     g = PropertyGraph.from_rows(spark, [dict(id=i, label="n", h=h) for i, h in guesses.items()], [dict(id=n, label="e", src=a, dst=b, w=w) for n, (a, b, w) in enumerate(edges)])
     assert algorithms.astar(g, 0, 3, "w", "h") == (7.0, [0, 2, 1, 3])
+
+
+def test_rounds_have_no_silent_cap(spark, monkeypatch):
+    n = 9
+    g = PropertyGraph.from_rows(spark, [dict(id=i, label="n", at=i) for i in range(n)], [dict(id=i, label="e", src=i, dst=i + 1) for i in range(n - 1)])
+    monkeypatch.setattr(algorithms, "MAX_ROUNDS", 3)
+    monkeypatch.setattr(rounds, "MAX_LOOPS", 3, raising=False)
+    assert algorithms.bfs(g, 2).count() == 7
+    assert g.traversal().V(0).repeat(__.out("e")).until(__.has("at", n - 1)).id().to_list() == [n - 1]
+    assert inspect.signature(algorithms.bidirectional_paths).parameters["max_depth"].default is None
+    assert algorithms.bidirectional_paths(g, 0, n - 1) == list(range(n))

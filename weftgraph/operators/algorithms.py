@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass, replace
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def bfs(graph, sources, max_depth: int | None = None, labels=None, direction: st
     steps = Walks(direction, labels).steps(graph).select("a", "b").distinct()
     now = settle(_sources(graph, sources).select("source", F.col("source").alias("vertex"), F.lit(0).cast("long").alias("depth"), *([F.array("source").alias("path")] if paths else [])))
     seen = now
-    for depth in range(1, (max_depth if max_depth is not None else MAX_ROUNDS) + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         ahead = now
         if target is not None:
             found = seen.filter(F.col("vertex") == target).select("source").distinct()
@@ -109,12 +110,12 @@ def shortest_paths(graph, sources, target: int, labels=None, direction: str = "o
     return found.filter(F.col("vertex") == target).select("source", "path", F.col("depth").cast("double").alias("distance"))
 
 
-def bidirectional_paths(graph, source: int, target: int, labels=None, max_depth: int = 64) -> list[int] | None:
+def bidirectional_paths(graph, source: int, target: int, labels=None, max_depth: int | None = None) -> list[int] | None:
     """A shortest path by two frontiers: forward from the source, backward from the target."""
     sides = [bfs(graph, source, 0, labels, "out", paths=True), bfs(graph, target, 0, labels, "in", paths=True)]
     steps = [Walks(d, labels).steps(graph).select("a", "b").distinct() for d in ("out", "in")]
     fronts = list(sides)
-    for depth in range(max_depth + 1):
+    for depth in count() if max_depth is None else range(max_depth + 1):
         met = sides[0].select("vertex", F.col("path").alias("p"), F.col("depth").alias("x")).join(sides[1].select("vertex", F.col("path").alias("q"), F.col("depth").alias("y")), "vertex")
         hit = met.orderBy(F.col("x") + F.col("y"), "p", "q").limit(1).collect()
         if hit:
@@ -126,6 +127,8 @@ def bidirectional_paths(graph, source: int, target: int, labels=None, max_depth:
         if fronts[i].isEmpty():
             return None
         sides[i] = sides[i].union(fronts[i])
+        if depth % 8 > 5:  # plans don't grow
+            sides[i] = settle(sides[i])
     return None
 
 

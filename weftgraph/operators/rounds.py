@@ -1,4 +1,4 @@
-"""repeat(): bounded rounds of the body over a frontier.
+"""repeat(): rounds of the body over a frontier, until it is empty or ``times`` are made.
 
 Before each round a traverser leaves if it has made ``times`` rounds or meets ``until``. Without emit, one
 that the body leads nowhere leaves as it is. With emit, every result of a round also leaves (if it meets
@@ -9,6 +9,7 @@ let go leaves once. Each round's frontier is written to the shared folder, so th
 from __future__ import annotations
 
 from dataclasses import replace
+from itertools import count
 
 from pyspark.sql import functions as F
 
@@ -16,8 +17,6 @@ from weftgraph.functions.predicates import P
 from weftgraph.plans.traversal import Step, Traversal
 from weftgraph.runtime import settle
 
-MAX_LOOPS = 100
-
 
 def _test(a) -> Traversal:
     return a if isinstance(a, Traversal) else Traversal(None, (Step("is", (a if isinstance(a, P) else P.eq(a),)),))
@@ -43,7 +42,7 @@ def repeated(s, step: Step):
 
     now = replace(s, df=s.df.withColumn("_loops", F.lit(0).cast("long")))
     out = [picked(now)] if "emit_first" in mods else []
-    for n in range((MAX_LOOPS if times is None else times) + 1):
+    for n in count() if times is None else range(times + 1):
         if times is not None and n >= times:
             if not emit or (n == 0 and "emit_first" not in mods):
                 out.append(now)
