@@ -172,6 +172,26 @@ def test_simhash_links_with_hot_buckets(spark, bucket):
             assert not members & got.keys()
 
 
+@pytest.mark.parametrize("most", [4, 6])
+def test_simhash_links_beyond_three_bits(spark, most):
+    rng = random.Random(most)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    near = [b ^ sum(1 << bit for bit in rng.sample(range(64), rng.randrange(1, most + 3))) for b in base for _ in range(3)]
+    fps = sorted({int(np.array(x, np.uint64).view(np.int64)) for x in base + near})
+    u64 = np.array(fps, np.int64).view(np.uint64)
+
+    def classes(pairs):
+        top = {f: f for f in fps}
+        find = lambda x: x if top[x] == x else find(top[x])
+        for a, b in pairs:
+            top[max(find(a), find(b))] = min(find(a), find(b))
+        return {f: find(f) for f in fps}
+
+    want = classes([(fps[i], fps[j]) for i in range(len(fps)) for j in range(i) if int(u64[i] ^ u64[j]).bit_count() <= most])
+    found = simhash_gph.links(spark.createDataFrame([(f,) for f in fps], "fp long"), most).collect()
+    assert classes([(r.u, r.v) for r in found]) == want
+
+
 def test_pigeonhole_thresholds():
     rng = np.random.default_rng(1)
     cost = np.concatenate([np.zeros((50, 4, 1)), rng.random((50, 4, 4)).cumsum(2)], axis=2)

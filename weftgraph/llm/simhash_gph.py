@@ -227,7 +227,7 @@ def links(prints: DataFrame, most: int = 3, parts: int = 4, bucket: int = 4096)
                             keys = ((some[:, None] ^ around[None, :]) & masks[i]).ravel()
                             who = np.repeat(some, len(around))
                             filled = near[i][0][values(keys, g)]
-                            keys, who, filled = keys[filled > 1], who[filled > 1], filled[filled > 1]
+                            keys, who, filled = keys[filled > 0], who[filled > 0], filled[filled > 0]
                             if len(who):
                                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), i, np.int32)), pa.array(keys), pa.array(who), pa.array(filled > bucket)], ["path", "val", "fp", "hot"])
 
