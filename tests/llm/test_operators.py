@@ -456,6 +456,30 @@ def test_ppm_scores_do_not_depend_on_the_cache(spark, docs, hot, monkeypatch):
     assert [x for _, x in ours] == pytest.approx([x for _, x in want], abs=1e-3)
 
 
+def test_ppm_whole_query_against_step_by_step_ppm(spark, monkeypatch):
+    for name, value in (("_RAW", 60), ("_FLUSH_GRAMS", 50), ("_FLUSH_WORDS", 10), ("_FLUSH_ASKS", 40), ("_ROWS", 3), ("_BUCKET", 30), ("HOT_GRAMS", 40), ("HOT_WORDS", 20)):
+        monkeypatch.setattr(ppm, name, value)  # many flushes and buckets
+    rng = random.Random(11)
+    texts = [" ".join("".join(rng.choice("abé") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(12))) for _ in range(60)] + [None, "", " ", "zz new"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    full, order = Counter(), ppm.ORDER
+    symbols = lambda t: [ppm.START] * order + list((t or "").encode()) + [ppm.END]
+    train = [t for i, t in enumerate(texts) if i % 4]
+    for t in train:
+        s = symbols(t)
+        full.update(tuple(s[i - j : i + 1]) for i in range(order, len(s)) for j in range(order + 1))
+    contexts = {}
+    for k, c in full.items():
+        contexts.setdefault(k[:-1], {})[k[-1]] = c
+    slow = slow_ppm(train, lambda ctx: (contexts[ctx], sum(contexts[ctx].values())) if ctx in contexts else None, order)
+    got = {r.doc_id: r for r in ppm.score(docs, F.col("doc_id") % 4 == 0).collect()}
+    assert len(got) == len(texts)
+    for (i, t), (n, known, _, base) in zip(enumerate(texts), plain_base([t or "" for t in texts], [t or "" for t in train]), strict=True):
+        s = symbols(t)
+        assert got[i].score == pytest.approx(sum(slow(tuple(s[j - order : j]), s[j]) for j in range(order, len(s))))
+        assert (got[i].n_tokens, got[i].n_known, got[i].base_score) == (n, known, pytest.approx(base))
+
+
 def test_ppm_rare_contexts_stay_in_the_model(spark):
     text = "common words here " * 3_000  # pads the corpus
     seldom = "qz xk vj"
