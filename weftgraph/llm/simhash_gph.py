@@ -35,9 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.components import components
+from weftgraph.llm.components import components, join_hot
 from weftgraph.llm.runtime import only, settle
 
+#: What a row of a bucket is: a fingerprint's own value, a value near it, or its own value that is also probed.
+INDEX, PROBE, BOTH = 0, 1, 2
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -196,8 +198,12 @@ def _blocks(used: tuple, groups: list[np.ndarray], most: int) -> list[np.ndarray
     return np.array_split(left, most + 1)
 
 
-def links(prints: DataFrame, most: int = 3, parts: int = 4, bucket: int = 4096) -> DataFrame:
-    """Edges (u, v) that connect exactly the fingerprints (column ``fp``, distinct) within ``most`` bits."""
+def links(prints: DataFrame, most: int = 3, parts: int = 4, bucket: int = 4096, trees: bool = False) -> DataFrame:
+    """Edges (u, v) that connect exactly the fingerprints (column ``fp``, distinct) within ``most`` bits.
+
+    An edge leads to the smallest fingerprint that is linked with ``u`` in a bucket; with ``trees`` every
+    edge is itself a pair within ``most`` bits, the nearest ones first (a bucket's minimum spanning forest).
+    """
     n, together = bit_statistics(prints)
     groups = group_bits(n, together, parts)
     counts = histograms(prints, groups)
@@ -226,19 +232,21 @@ def links(prints: DataFrame, most: int = 3, parts: int = 4, bucket: int = 4096)
                             some = own[c : c + 2_000]
                             keys = ((some[:, None] ^ around[None, :]) & masks[i]).ravel()
                             who = np.repeat(some, len(around))
+                            role = np.full(len(who), PROBE, np.int32)
+                            role[:: len(around)] = INDEX if t < 0 else BOTH  # no flip comes first: the fingerprint's own value
                             filled = near[i][0][values(keys, g)]
-                            keys, who, filled = keys[filled > 0], who[filled > 0], filled[filled > 0]
-                            if len(who):
-                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), i, np.int32)), pa.array(keys), pa.array(who), pa.array(filled > bucket)], ["path", "val", "fp", "hot"])
+                            asked = filled > 0
+                            if asked.any():
+                                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(asked.sum()), i, np.int32)), pa.array(keys[asked]), pa.array(who[asked]), pa.array(role[asked]), pa.array(filled[asked] > bucket)], ["path", "val", "fp", "role", "hot"])
 
-    rows = prints.select("fp").mapInArrow(emit, "path int, val long, fp long, hot boolean")
+    rows = prints.select("fp").mapInArrow(emit, "path int, val long, fp long, role int, hot boolean")
     hot = int(near[:, 0].max(initial=0)) > bucket
     if hot:
         rows = settle(rows, "probes")
-    cool = rows.filter("NOT hot").select("path", "val", F.lit(0).alias("cell"), "fp")
+    cool = rows.filter("NOT hot").select("path", "val", F.lit(0).alias("cell"), "fp", "role")
     if hot:
-        cool = cool.union(_take_apart(rows.filter("hot").select("path", "val", "fp"), groups, most, bucket))
-    return meet(cool, most)
+        cool = cool.union(_take_apart(rows.filter("hot").select("path", "val", "fp", "role"), groups, most, bucket))
+    return meet(cool, most, trees)
 
 
 def _take_apart(rows: DataFrame, groups: list[np.ndarray], most: int, bucket: int) -> DataFrame:
@@ -249,29 +257,29 @@ def _take_apart(rows: DataFrame, groups: list[np.ndarray], most: int, bucket: in
         groups = shared.value
         masks: dict[int, list[int]] = {}
         for batch in batches:
-            path, val, fp = (_longs(batch, c) for c in ("path", "val", "fp"))
+            path, val, fp, role = (_longs(batch, c) for c in ("path", "val", "fp", "role"))
             for p in np.unique(path).tolist():
                 if p not in masks:
                     masks[p] = [_mask(b) for b in _blocks(_used(p, most), groups, most)]
                 own = path == p
                 for j, mask in enumerate(masks[p]):
                     k = int(own.sum())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, (p + 1) * 16 + j, np.int32)), pa.array(val[own] | (fp[own] & mask)), pa.array(fp[own])], ["path", "val", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, (p + 1) * 16 + j, np.int32)), pa.array(val[own] | (fp[own] & mask)), pa.array(fp[own]), pa.array(role[own], pa.int32())], ["path", "val", "fp", "role"])
 
-    schema = "path int, val long, fp long"
+    schema = "path int, val long, fp long, role int"
     done = None
     for _ in range(2):
         rows = rows.mapInArrow(refine, schema)
         sizes = rows.groupBy("path", "val").agg(F.count("*").alias("n")).filter("n > 1")
         rows = settle(rows.join(sizes, ["path", "val"]), "buckets")
-        small = rows.filter(F.col("n") <= bucket).select("path", "val", F.lit(0).alias("cell"), "fp")
+        small = rows.filter(F.col("n") <= bucket).select("path", "val", F.lit(0).alias("cell"), "fp", "role")
         done = small if done is None else done.union(small)
         rows = rows.filter(F.col("n") > bucket)
-        large, rows = rows, rows.select("path", "val", "fp")
+        large, rows = rows, rows.select("path", "val", "fp", "role")
     chunks = F.ceil(F.col("n") * 2 / F.lit(bucket)).cast("int")
     dealt = large.withColumn("c", chunks).withColumn("a", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
     cells = F.expr("transform(sequence(0, c - 1), b -> least(a, b) * c + greatest(a, b))")
-    return done.union(dealt.select("path", "val", F.explode(cells).alias("cell"), "fp"))
+    return done.union(dealt.select("path", "val", F.explode(cells).alias("cell"), "fp", "role"))
 
 
 def _used(path: int, most: int) -> tuple:
@@ -282,27 +290,77 @@ def _used(path: int, most: int) -> tuple:
     return (path, *reversed(out))
 
 
-def meet(rows: DataFrame, most: int) -> DataFrame:
+def meet(rows: DataFrame, most: int, trees: bool = False) -> DataFrame:
     """A spanning forest of the links within each (path, val, cell)."""
 
     def run(batches):
         held = None
         for batch in batches:
-            now = np.stack([_longs(batch, c) for c in ("path", "val", "cell", "fp")])
+            now = np.stack([_longs(batch, c) for c in ("path", "val", "cell", "fp", "role")])
             if held is not None:
                 now = np.concatenate([held, now], axis=1)
             last = np.flatnonzero((now[:3, :-1] != now[:3, 1:]).any(0))
             cut = int(last[-1]) + 1 if len(last) else 0
             held = now[:, cut:]
             if cut:
-                yield _forest(now[:, :cut], most)
+                yield join(now[:, :cut], most)
         if held is not None and held.shape[1]:
-            yield _forest(held, most)
+            yield join(held, most)
 
-    dealt = rows.repartition("path", "val", "cell").sortWithinPartitions("path", "val", "cell", "fp")
+    join = _trees if trees else _forest
+    dealt = rows.repartition("path", "val", "cell").sortWithinPartitions("path", "val", "cell", "fp", "role")
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _trees(rows: np.ndarray, most: int) -> pa.RecordBatch:
+    """The nearest links between probes and index rows that span all of them, over the groups of ``rows``."""
+    fp, role = rows[3].view(np.uint64), rows[4]
+    starts = np.concatenate([[0], np.flatnonzero((rows[:3, :-1] != rows[:3, 1:]).any(0)) + 1])
+    kept, fresh, held = np.empty((3, 0), np.int64), [], 0
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.shape[1]], strict=True):
+        index, probes = fp[a:b][role[a:b] != PROBE], fp[a:b][role[a:b] != INDEX]
+        if not len(index) or not len(probes):
+            continue
+        for c in range(0, len(probes), most_cells := max(1, 1_000_000 // len(index))):
+            apart = np.bitwise_count(probes[c : c + most_cells, None] ^ index[None, :])
+            i, j = np.nonzero((apart <= most) & (apart > 0))
+            if len(i):
+                fresh.append(np.stack([probes[c : c + most_cells][i].view(np.int64), index[j].view(np.int64), apart[i, j].astype(np.int64)]))
+                held += len(i)
+        if held > 500_000:
+            kept, fresh, held = spanning(np.concatenate([kept, *fresh], axis=1)), [], 0
+    kept = spanning(np.concatenate([kept, *fresh], axis=1)) if fresh else kept
+    return pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], ["u", "v"])
+
+
+def spanning(edges: np.ndarray) -> np.ndarray:
+    """A minimum spanning forest of (u, v, distance), by Boruvka's rounds; ties go to the smaller pair."""
+    edges = edges[:, np.lexsort((edges[1], edges[0], edges[2]))]
+    nodes, ends = np.unique(edges[:2], return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    part, chosen = np.arange(len(nodes)), []
+    rank = np.arange(len(a))
+    while True:
+        live = part[a[rank]] != part[b[rank]]
+        rank = rank[live]
+        if not len(rank):
+            break
+        best = np.full(len(nodes), len(a))
+        for side in (a, b):
+            np.minimum.at(best, part[side[rank]], rank)
+        picked = np.unique(best[best < len(a)])
+        chosen.append(picked)
+        while True:  # the parts that the picked edges join take their smallest number
+            x, y = part[a[picked]], part[b[picked]]
+            low = np.minimum(x, y)
+            if (x == y).all():
+                break
+            to = np.arange(len(nodes))
+            np.minimum.at(to, np.maximum(x, y), low)
+            part = to[to[part]]
+    return edges[:, np.concatenate(chosen)] if chosen else edges[:, :0]
+
+
 def _forest(rows: np.ndarray, most: int) -> pa.RecordBatch:
     """Links between neighbours at growing offsets in sorted rows, reduced to a forest on the way."""
     fp = rows[3]
@@ -357,7 +415,73 @@ def classes(keyed: DataFrame, most: int = 3, bucket: int = 4096) -> DataFrame:
     keyed = settle(keyed, "fingerprints")
     distinct = settle(keyed.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, most, bucket=bucket))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = settle(rooted.join(named, "root").select(F.col("fp").alias("__fp"), "component_id"), "named")
+    rooted = settle(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    named = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "roots")
+    by_print = settle(join_hot(rooted, named, "root", rooted.count()).select(F.col("fp").alias("__fp"), "component_id"), "named")
     return keyed.join(by_print, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id", "__fp")
+
+
+# -- similar texts ---------------------------------------------------------------------------
+
+
+def shingles(text: str, width: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct word shingles; fewer words are one shingle, no words none."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - width + 1)
+    found = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of common elements of two sorted sets; two empty sets are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def digest_of(text: str = "text"):
+    """16 bytes that name a text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def first_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, width: int = 5, most: int = 11, parts: int = 6) -> DataFrame:
+    """(key, __text, copies): the smallest key of each class of similar texts, the name of its text, and how often
+    that row is there.
+
+    Texts are linked if the Jaccard similarity of their sets of ``width``-word shingles is at least ``least``,
+    which is checked on every link that counts. Candidates are pairs of SimHash fingerprints (three-word
+    shingles, which stay closer than five-word ones) within ``most`` bits; of a bucket's candidates its
+    minimum spanning forest is checked, so a group of copies costs a link for each member and not for each
+    pair. Texts of equal fingerprints are checked against one of them. Rows with equal texts are one text.
+    """
+    docs = only(docs, key, text).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = settle(with_fingerprints(docs).select("doc_id", digest_of().alias("__text"), "__fp"), "fingerprints")
+    rows = keyed.groupBy("__text", "doc_id").agg(F.first("__fp").alias("fp"), F.count("*").alias("n"))
+    least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))
+    texts = settle(rows.groupBy("__text").agg(least_row.alias("f"), F.first("fp").alias("fp")).select("__text", F.col("f.doc_id").alias("least"), F.col("f.n").alias("copies"), "fp"), "texts")
+    prints = settle(texts.groupBy("fp").agg(F.min("__text").alias("own")), "distinct")
+    pairs = links(prints, most, parts, trees=True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    named = pairs.join(prints.select(F.col("fp").alias("u"), F.col("own").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("own").alias("b")), "v").select("a", "b")
+    alike = texts.join(prints, "fp").filter("__text != own").select(F.col("__text").alias("a"), F.col("own").alias("b"))
+    tried = settle(named.union(alike), "candidates")
+    wanted = tried.select("a").union(tried.select("b")).distinct().withColumnRenamed("a", "__text").join(texts, "__text").select("__text", F.col("least").alias("__least"))
+
+    def sets(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), width).tobytes() for x in batch.column(1)], pa.binary())], ["name", "words"])
+
+    def verified(batches):
+        for batch in batches:
+            a, b = ([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(c)] for c in ("x", "y"))
+            good = pa.array([jaccard(x, y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good).rename_columns(["u", "v"])
+
+    own = docs.withColumn("name", digest_of())
+    found = own.join(wanted, (F.col("name") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi")
+    known = settle(found.select("name", "text").mapInArrow(sets, "name binary, words binary").groupBy("name").agg(F.first("words").alias("words")), "shingles")
+    met = tried.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    roots = components(met.mapInArrow(verified, "u binary, v binary"))
+    rooted = texts.join(roots.withColumnRenamed("node", "__text"), "__text", "left")
+    first = rooted.groupBy(F.coalesce("root", "__text").alias("root")).agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "__text", "copies")).alias("f"))
+    return first.select(F.col("f.least").alias(key), F.col("f.__text").alias("__text"), F.col("f.copies").alias("copies"))
