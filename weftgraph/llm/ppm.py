@@ -508,7 +508,7 @@ def looked_up(src: DataFrame, shared, documents: int, buckets: int) -> DataFrame
                 if cold.any():
                     rare.append((doc[cold] + n_docs, coded.dictionary.take(pa.array(which[cold]))))
                 asks += len(cold_doc) + int(cold.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([flush] * n, pa.int64()), pa.array(range(n_docs, n_docs + n), pa.int64()), batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(count, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array([flush % buckets] * n, pa.int32()), pa.array([DOCS] * n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(4))], names)
+                yield pa.RecordBatch.from_arrays([pa.array([flush] * n, pa.int64()), pa.array(range(n_docs, n_docs + n), pa.int64()), batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(count, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array((flush + np.arange(n_docs, n_docs + n)) % buckets, pa.int32()), pa.array([DOCS] * n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(4))], names)
                 n_docs += n
                 if asks > _FLUSH_ASKS or n_docs > _FLUSH_DOCS:
                     yield from questions()
