@@ -6,8 +6,9 @@ columns of documents. Stages drop what their operator rejects and nothing else:
 
 * toxicity: rows scoring 0.5 or more go; the classifier learns from the training fold of ``labels``;
 * quality rules: rows that the rules don't keep go;
-* SimHash near-dedup: of each class of texts whose fingerprints (three-word shingles) are linked within
-  three bits, the row with the smallest doc_id stays; of repeated rows one stays;
+* SimHash near-dedup: of each class of texts that are linked by a five-word Jaccard similarity of 0.8 or
+  more, the row with the smallest doc_id stays; of repeated rows one stays. SimHash finds the candidates,
+  the similarity itself decides;
 * best-fit packing: all that is left, packed into sequences of at most 1024 tokens.
 
 Null texts are empty texts; they fail the quality rules. An empty table stays empty. Further columns of
@@ -36,12 +37,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = exact(docs, "doc_id", "text")
-    marked = simhash_gph.with_fingerprints(own)
-    classes = simhash_gph.classes(marked.select("doc_id", "__fp"))
-    first = classes.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"), F.col("__fp").alias("__own")).distinct()
-    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__own")), "left_semi")
-    twin = F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy(F.lit(1)))
-    return kept.withColumn("__twin", twin).filter("__twin = 1").select(*own.columns).toDF(*docs.columns)
+    first = settle(simhash_gph.first_of_similar(own).toDF("__id", "__own", "__copies"), "first-of-class")
+    named = own.withColumn("__text", simhash_gph.digest_of())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__own"))
+    once = named.join(first.filter("__copies = 1"), same, "left_semi")
+    several = named.join(first.filter("__copies > 1"), same, "left_semi")
+    twin = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy(F.lit(1)))
+    single = several.withColumn("__twin", twin).filter("__twin = 1")
+    return once.select(*own.columns).union(single.select(*own.columns)).toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
