@@ -65,6 +65,30 @@ def test_html_unclosed_markup():
     assert len(html_mincut.blocks(head + "<a " * 200_000)) == 2  # in linear time
 
 
+LONG = "This is a sentence of the story, with some commas, and it goes on for a while. Another one follows here."
+BARE = [  # pages without names or article elements: (html, block, whether it is content)
+    (f"<div><p>{LONG}</p><p>Yes</p><p>{LONG}</p></div>", "Yes", True),
+    (f"<div><p>{LONG}</p><p>{LONG}</p><div><span><a href=x>Offers of today</a></span></div><p>No</p><p>{LONG}</p></div>", "No", True),  # by its parent's other blocks
+    ("<ul>" + "<li><a href=x>Some place</a></li>" * 5 + "<li>All of our offers of today, in one place, sorted by price. Have a look at them.</li>" + "<li><a href=x>Some place</a></li>" * 5 + "</ul>", "All of our offers of today, in one place, sorted by price. Have a look at them.", False),
+]
+
+
+@pytest.mark.parametrize(("html", "block", "content"), BARE)
+def test_html_cut_overrules_single_blocks(html, block, content):
+    found = html_mincut.blocks(html)
+    at = [b[0] for b in found].index(block)
+    assert html_mincut.labels(found)[at] == content
+    single = html_mincut.score(found[at][0], found[at][1], found[at][3])
+    assert (single > 0) != content  # on its own the block would be labelled otherwise
+    assert (LONG in html_mincut.main_text(html)) == (LONG in html)
+
+
+def test_html_ties_in_the_tree():
+    ties = html_mincut.ties([(1, 2), (1, 3, 4), (1, 5), (1, 3, 6), (7,)], ["p", "p", "p", "p", "div"])
+    assert {(a, b) for a, b, _ in ties} >= {(0, 1), (1, 2), (2, 3), (3, 4), (0, 2), (1, 3)}  # parents 1 and 3
+    assert len(html_mincut.ties([(1, i) for i in range(2, 400)], ["p"] * 398)) == 397  # a chain, not all pairs
+
+
 def test_html_min_cut_is_minimal():
     rng = random.Random(1)
     for _ in range(60):
@@ -303,6 +327,40 @@ def test_toxicity_held_out(spark, toxic):
     assert sum(out[i].predicted == int(i % 3 == 0) for i in held) / len(held) > 0.9
 
 
+def test_toxicity_responses_and_gradients_step_by_step():
+    rng = np.random.default_rng(3)
+    net = toxicity_cnn.Network()
+    texts = [" ".join(f"v{rng.integers(30)}" for _ in range(n)) for n in (1, 2, 5, 40)]
+    distinct, ids, starts = toxicity_cnn.flatten(texts)
+    rows = net.project(toxicity_cnn.hashes(distinct))
+    pooled, _ = net.respond(rows, ids, starts)
+    for i, t in enumerate(texts):
+        vectors = [sum(net.embed[b] for b in toxicity_cnn.hashes([w])[0]) for w in toxicity_cnn.words(t)] + [np.zeros(toxicity_cnn.DIM)] * max(toxicity_cnn.WIDTHS)
+        for w, width in enumerate(toxicity_cnn.WIDTHS):
+            for f in range(toxicity_cnn.FILTERS):
+                at = [toxicity_cnn.PLACES.index((width, k)) * toxicity_cnn.FILTERS + f for k in range(width)]
+                padded = len(vectors)  # windows may begin in the padding after a text, which is zero
+                slow = max(sum(vectors[p + k] @ net.filters[:, at[k]] if p + k < padded else 0 for k in range(width)) for p in range(padded))
+                assert pooled[i, w * toxicity_cnn.FILTERS + f] == pytest.approx(slow, abs=1e-5)
+    labels = np.array([0, 1, 0, 1], np.float32)
+    before = net.logits(pooled)
+    net.fit(texts * 8, np.tile(labels, 8))
+    after = toxicity_cnn.WordRows(net).logits(texts)[0]
+    loss = lambda z: float(np.mean(np.logaddexp(0, z) - labels * z))
+    assert loss(after) < 0.2 * loss(before)
+
+
+def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "SAMPLE_BYTES", 3_000)
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") * 60) for i in range(60)] + [(99, "long " * 9_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(100)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity_cnn.Network, "fit", lambda self, texts, y: seen.extend(texts))
+    monkeypatch.setattr(toxicity_cnn.Network, "calibrate", lambda self, texts, y, rate: seen.extend(texts))
+    toxicity_cnn.train(docs, labels, F.lit(True))
+    assert 0 < sum(map(len, seen)) <= 3_000 and len(seen) == 10
+
+
 def test_toxicity_odd_tables(spark, docs, toxic):
     labels = toxic[1]
     assert toxicity_cnn.score(docs, labels).count() == docs.count()
@@ -338,11 +396,53 @@ def test_order_minhash_across_a_power_of_two(border):
         assert order_minhash.likeness(s(one), s(one + "x")) > 0.85
 
 
-def test_order_minhash_order():
-    rng = np.random.default_rng(1)
-    for n, high in ((1, 1), (500, 3), (500, 2**63), (3_000, 1_000)):
-        keys = rng.integers(0, high, n).astype(np.uint64)
-        assert (order_minhash.order(keys) == np.lexsort((np.arange(n), keys))).all()
+def slow_sketch(text):
+    """Slot by slot: rank every numbered k-mer, take the first ones, hash them in text order."""
+    k, mask = min(order_minhash.K, len(text)), (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    prime, hashes, times, numbers = int(order_minhash._PRIME), [], Counter(), []
+    for i in range(len(text) - k + 1):
+        h = 0
+        for c in text[i : i + k]:
+            h = (h * prime + ord(c) + 1) & mask
+        hashes.append(mix(h))
+        kind = hashes[-1] >> 20
+        numbers.append(mix((kind + times[kind] * prime + 1) & mask) >> 32)
+        times[kind] += 1
+    out = []
+    for first, second in zip(*order_minhash._KEYS.tolist(), strict=True):
+        ranked = sorted(range(len(hashes)), key=lambda i: ((numbers[i] ^ first) * second & 0xFFFFFFFF, i))
+        chosen = sorted(ranked[: order_minhash.PICKED])
+        h = min(order_minhash.PICKED, len(hashes))
+        for i in chosen:
+            h = mix((h * prime + hashes[i]) & mask)
+        out.append(h >> 48)
+    return out
+
+
+def test_order_minhash_slot_by_slot(monkeypatch):
+    rng = random.Random(3)
+    texts = ["a", "ab", "abcde", "abcdef", "aaaaaaaaaa", "é😀" * 30, words(rng, 12), words(rng, 200, 20)]
+    for cells in (1, 1 << 18):
+        monkeypatch.setattr(order_minhash, "_CELLS", cells)
+        for t in texts:
+            assert order_minhash.sketch(order_minhash.codes_of(t)).tolist() == slow_sketch(t)
+
+
+def test_order_minhash_slots_are_independent():
+    rng = random.Random(5)
+    s = lambda t: order_minhash.sketch(order_minhash.codes_of(t))
+    assert len(set(s(" ".join(f"word{rng.randrange(10**6)}" for _ in range(10))).tolist())) > 100
+    got = []
+    for _ in range(300):
+        ws = [f"word{rng.randrange(10**6)}" for _ in range(10)]
+        got.append(order_minhash.likeness(s(" ".join(ws)), s(" ".join([*ws[:5], f"word{rng.randrange(10**6)}", *ws[6:]]))))
+    assert np.std(got) < 0.06  # about 0.044 for independent slots
 
 
 def test_order_minhash_sees_order():

@@ -1,12 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read once into blocks of text, each with its chain of open elements. A classifier gives
-every block the cost of calling it boilerplate and the cost of calling it content: element kinds and
-words in class or id attributes on the chain, text length, stop marks and the share of linked text.
-Those costs are capacities from the source and to the sink. Neighbours in page order are tied by an
-edge that is stronger the more of their chains they share, so a short line in the middle of an
-article stays, and a long sentence inside a menu goes. The minimum cut (Dinic's
-algorithm over the page's own small graph) labels the page.
+every block the cost of calling it boilerplate and the cost of calling it content: text length, stop
+marks and the share of linked text first, then, at half their weight, element kinds and words in class
+or id attributes on the chain. Those costs are capacities from the source and to the sink. Smoothness
+edges tie neighbours in page order, stronger the more of their chains they share, and, by proximity in the
+document tree, each block to the last one of its kind before it under the same parent and under the
+same grandparent, whatever stands between them. So a short line in the middle of an article stays, a long
+sentence inside a menu goes, and an article goes on after an advert. The minimum cut (Dinic's algorithm
+over the page's own small graph, three edges a block at most) labels the page.
 
 Never content, whatever the cut says: scripts, styles, templates, the head, and form controls.
 
@@ -31,6 +33,7 @@ from weftgraph.llm.runtime import only
 RAW = {"script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "select", "object", "canvas"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+PAGE = {"html", "body"}  # everything is in them: they bring no blocks together
 CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 BREAKS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul", "figure"}
 
@@ -69,8 +72,8 @@ def evidence(name: str, attrs: str) -> float:
     return found
 
 
-def blocks(html: str) -> list[tuple[str, float, tuple[int, ...], float]]:
-    """(text, evidence, chain of open elements' numbers, share of linked text) in page order."""
+def blocks(html: str) -> list[tuple[str, float, tuple[int, ...], float, str]]:
+    """(text, evidence, chain of open elements' numbers, share of linked text, own element's kind) in page order."""
     out: list = []
     stack: list[tuple[str, int, float]] = []
     parts: list[str] = []
@@ -84,7 +87,7 @@ def blocks(html: str) -> list[tuple[str, float, tuple[int, ...], float]]:
         if text:
             solid = [s for s in stack if s[0] not in INLINE]
             strong = [e for _, _, e in solid]
-            out.append((text, min([0.0, *strong]) + min(3.5, sum(e for e in strong if e > 0)), tuple(i for _, i, _ in solid), linked / max(total, 1)))
+            out.append((text, min([0.0, *strong]) + min(3.5, sum(e for e in strong if e > 0)), tuple(i for kind, i, _ in solid if kind not in PAGE), linked / max(total, 1), solid[-1][0] if solid else ""))
         linked = total = 0
 
     def close_to(at: int):
@@ -216,27 +219,45 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
                 node = to[path.pop() ^ 1]
 
 
-def main_text(html: str) -> str:
-    """The page's article: its content blocks in page order, joined by one space."""
-    found = blocks(html)
-    if not found:
-        return ""
-    source, sink, edges = [], [], []
-    for text, shown, _, linked in found:
-        score = shown - 4.0 * linked + min(1.5, len(text) / 120) + min(0.8, 0.3 * len(_STOPS.findall(text))) - 0.9
-        source.append(max(score, 0.0))
-        sink.append(max(-score, 0.0))
-    for i in range(len(found) - 1):
-        a, b = found[i][2], found[i + 1][2]
+def score(text: str, shown: float, linked: float) -> float:
+    """A block's evidence for content (positive) or boilerplate, on its own."""
+    own = min(1.6, len(text) / 100) + min(1.0, 0.35 * len(_STOPS.findall(text))) - 4.0 * linked - 1.2
+    return own + max(-3.2, min(1.6, 0.5 * shown))
+
+
+def ties(chains: list[tuple[int, ...]], kinds: list[str]) -> list[tuple[int, int, float]]:
+    """Smoothness edges between blocks: neighbours in the page, and in the tree."""
+    out = []
+    for i in range(len(chains) - 1):
+        a, b = chains[i], chains[i + 1]
         shared = 0
         for x, y in zip(a, b, strict=False):
             if x != y:
                 break
             shared += 1
         apart = max(len(a), len(b)) - shared
-        edges.append((i, i + 1, 1.2 * 0.5 ** max(0, apart - 1) if apart else 1.5))
-    kept = min_cut(source, sink, edges)
-    return " ".join(b[0] for b, k in zip(found, kept, strict=True) if k)
+        out.append((i, i + 1, 0.8 * 0.5 ** max(0, apart - 1) if apart else 1.2))
+    for above, weight in ((1, 0.8), (2, 0.3)):  # a block's own element stands last in its chain
+        last: dict[tuple, int] = {}
+        for i, (chain, kind) in enumerate(zip(chains, kinds, strict=True)):
+            if len(chain) > above:
+                key = (chain[-1 - above], kind)
+                if last.get(key, i - 1) != i - 1:  # neighbours are tied already
+                    out.append((last[key], i, weight))
+                last[key] = i
+    return out
+
+
+def labels(found: list[tuple[str, float, tuple[int, ...], float, str]]) -> list[bool]:
+    """Which blocks are content."""
+    scores = [score(text, shown, linked) for text, shown, _, linked, _ in found]
+    return min_cut([max(x, 0.0) for x in scores], [max(-x, 0.0) for x in scores], ties([b[2] for b in found], [b[4] for b in found]))
+
+
+def main_text(html: str) -> str:
+    """The page's article: its content blocks in page order, joined by one space."""
+    found = blocks(html)
+    return " ".join(b[0] for b, kept in zip(found, labels(found), strict=True) if kept) if found else ""
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
