@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.bpe_tree import worker_encoder
 from weftgraph.llm.runtime import only, slices, text_of
 
+#: Code points that are encoded at once; longer texts go through the tree of ``bpe_tree``. The ids are the same.
+LEAF = 16_384
 #: Rows to a packing task: enough that the bins left open at its end don't count.
 ROWS_PER_TASK = 400_000
 #: Pieces that are taken together, longest first.
@@ -90,7 +92,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     """(doc_id, piece, start, length, ids_crc32) of every document."""
 
     def run(batches):
-        bpe = worker_encoder(vocabulary)
+        bpe = worker_encoder(vocabulary, LEAF)
         end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()

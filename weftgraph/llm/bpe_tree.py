@@ -14,7 +14,10 @@ exact, not a matter of likelihood:
 A window that never agrees grows to the whole text, which is the plain encoding.
 
 Defined cases: null text is empty; the empty text has no ids; added special tokens written in a
-text become their id, as the tokenizer file says; repeated rows are encoded like any others.
+text become their id, as the tokenizer file says; repeated rows are encoded like any others; a very
+long text takes memory in proportion to its own length, and one that is a single run of letters is
+joined like any other; where several windows agree the smallest counts, and all of them give the same
+ids; an empty table gives no rows; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.runtime import only, slices, text_of
 
+#: Code points of a leaf; texts of at least ``SHARED`` leaves are encoded by several threads.
+LEAF, SHARED = 1_024, 64
+
 #: Fixed value: the pre-token pattern of the vocabulary file.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
@@ -47,14 +53,14 @@ def _byte_alphabet() -> dict[str, int]:
 class TreeBpe:
     """Encoder and decoder over a byte-level ``tokenizers`` JSON file."""
 
-    def __init__(self, path: str, leaf: int = 16_384, threads: int = 2):
+    def __init__(self, path: str, leaf: int = LEAF, threads: int = 2):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = _byte_alphabet()
         vocab = spec["model"]["vocab"]
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(alphabet[c] for c in k): v for k, v in vocab.items() if k not in specials}
-        self.leaf, self.threads = leaf, threads
+        self.leaf, self.threads, self.pool = leaf, threads, None
         self.specials = specials
         self._enc = tiktoken.Encoding("weft", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         size = max([*ranks.values(), *specials.values()]) + 1
@@ -101,10 +107,13 @@ class TreeBpe:
             cuts.append(len(text) * k >> depth)
         cuts.append(len(text))
         parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        with ThreadPoolExecutor(self.threads) as pool:
-            level = list(pool.map(self._plain, parts))
-            while len(level) > 1:
-                level = list(pool.map(lambda p: self.join(*p), zip(level[::2], level[1::2], strict=True)))
+        run = map
+        if len(parts) >= SHARED and self.threads > 1:
+            self.pool = self.pool or ThreadPoolExecutor(self.threads)  # one for the encoder's life
+            run = self.pool.map
+        level = list(run(self._plain, parts))
+        while len(level) > 1:
+            level = list(run(lambda p: self.join(*p), zip(level[::2], level[1::2], strict=True)))
         return level[0]
 
     def join(self, left: np.ndarray, right: np.ndarray, window: int = 16) -> np.ndarray:
@@ -155,14 +164,14 @@ class TreeBpe:
 _loaded: dict[tuple, TreeBpe] = {}
 
 
-def worker_encoder(path: str, leaf: int = 16_384) -> TreeBpe:
+def worker_encoder(path: str, leaf: int = LEAF) -> TreeBpe:
     """One encoder for a Python worker's life."""
     if (path, leaf) not in _loaded:
         _loaded[path, leaf] = TreeBpe(path, leaf)
     return _loaded[path, leaf]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", leaf: int = 16_384) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", leaf: int = LEAF) -> DataFrame:
     """(key, ids as binary of unsigned 32-bit, n_tokens) for every row; other columns don't matter."""
 
     def run(batches):
@@ -178,7 +187,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
     return src.mapInArrow(run, f"__key {kind}, ids binary, n_tokens long").withColumnRenamed("__key", key)
 
 
-def decode_ids(encoded: DataFrame, vocabulary: str, key: str = "doc_id", leaf: int = 16_384) -> DataFrame:
+def decode_ids(encoded: DataFrame, vocabulary: str, key: str = "doc_id", leaf: int = LEAF) -> DataFrame:
     """(key, text) back from ``encode_documents``."""
 
     def run(batches):
@@ -191,7 +200,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str, key: str = "doc_id", leaf: i
     return src.mapInArrow(run, f"__key {dict(src.dtypes)['__key']}, text string").withColumnRenamed("__key", key)
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: str, leaf: int = 16_384) -> DataFrame:
+def round_trip_digests(docs: DataFrame, vocabulary: str, leaf: int = LEAF) -> DataFrame:
     """Per document: token count, hash of the ids and hash of the text decoded from those ids."""
 
     def run(batches):
