@@ -30,6 +30,10 @@ class PropertyGraph:
     schema: object = None
     indexes: dict = field(default_factory=dict)
     text: dict = field(default_factory=dict)
+    #: Edge label to the labels of its sources and of its targets, where known: hops read no other tables.
+    ends: dict[str, tuple[frozenset, frozenset]] = field(default_factory=dict)
+    #: The label of a vertex id where ids tell it: (stride, code to label).
+    owners: tuple[int, dict[int, str]] | None = None
 
     # -- views ------------------------------------------------------------------------------
     def properties(self, element: str, labels=None) -> dict[str, T.DataType]:
@@ -84,7 +88,31 @@ class PropertyGraph:
         return self
 
     def changed(self, vertices: dict, edges: dict, **more) -> PropertyGraph:
-        return replace(self, vertices=vertices, edges=edges, version=self.version + 1, **more)
+        """What is known of an edge table's ends holds as long as the table is the same."""
+        known = {"ends": {k: e for k, e in self.ends.items() if edges.get(k) is self.edges.get(k)}, "owners": self.owners if vertices is self.vertices else None}
+        return replace(self, vertices=vertices, edges=edges, version=self.version + 1, **{**known, **more})
+
+    def reached(self, edge_labels, side: int) -> frozenset | None:
+        """Labels of the vertices at an end of the edges (0: sources, 1: targets); None if any is unknown."""
+        out: set = set()
+        for label in self.edges if edge_labels is None else edge_labels:
+            if label in self.edges:
+                if label not in self.ends:
+                    return None
+                out |= self.ends[label][side]
+        return frozenset(out)
+
+    def leaving(self, edge_labels, side: int, vertex_labels) -> frozenset | None:
+        """The edge labels without those that no vertex of the labels is an end of."""
+        known = self.edges if edge_labels is None else edge_labels
+        kept = frozenset(e for e in known if vertex_labels is None or e not in self.ends or self.ends[e][side] & vertex_labels)
+        return None if edge_labels is None and len(kept) == len(self.edges) else kept
+
+    def labels_of(self, ids) -> frozenset | None:
+        if self.owners is None or not all(isinstance(i, int) for i in ids):
+            return None
+        stride, codes = self.owners
+        return frozenset(codes[i // stride] for i in ids if i // stride in codes)
 
     # -- front ends -------------------------------------------------------------------------
     def traversal(self):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgraph.functions import values as V
-from weftgraph.runtime import settle
+from weftgraph.runtime import Rounds, settle
 
 #: Edges of a subgraph that a sequential algorithm may hold.
 MAX_LOCAL_EDGES = 2_000_000
@@ -63,9 +63,9 @@ def _sources(graph, sources) -> DataFrame:
 
 def bfs(graph, sources, max_depth: int | None = None, labels=None, direction: str = "out", target=None, paths: bool = False) -> DataFrame:
     """(source, vertex, depth[, path]) for every vertex within ``max_depth``; each once for a source."""
-    steps = Walks(direction, labels).steps(graph).select("a", "b").distinct()
-    now = settle(_sources(graph, sources).select("source", F.col("source").alias("vertex"), F.lit(0).cast("long").alias("depth"), *([F.array("source").alias("path")] if paths else [])))
-    seen = now
+    steps = settle(Walks(direction, labels).steps(graph).select("a", "b"))  # views aren't built anew in each round
+    now, _ = Rounds().settle(_sources(graph, sources).select("source", F.col("source").alias("vertex"), F.lit(0).cast("long").alias("depth"), *([F.array("source").alias("path")] if paths else [])))
+    seen, rounds = now, Rounds()
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         ahead = now
         if target is not None:
@@ -77,10 +77,10 @@ def bfs(graph, sources, max_depth: int | None = None, labels=None, direction: st
         else:
             reached = reached.select("source", F.col("b").alias("vertex")).distinct()
         fresh = reached.join(seen.select("source", "vertex"), ["source", "vertex"], "left_anti")
-        now = settle(fresh.select("source", "vertex", F.lit(depth).cast("long").alias("depth"), *(["path"] if paths else [])))
-        if now.isEmpty():
+        now, some = rounds.settle(fresh.select("source", "vertex", F.lit(depth).cast("long").alias("depth"), *(["path"] if paths else [])))
+        if not some:
             break
-        seen = settle(seen.union(now)) if depth % 8 == 0 else seen.union(now)
+        seen = rounds.settle(seen.union(now))[0] if depth % 8 == 0 else seen.union(now)
     return seen
 
 
@@ -91,16 +91,17 @@ def dijkstra_all(graph, sources, weight: str, labels=None, direction: str = "out
         steps = steps.filter(~F.col("a").isin(*banned_vertices) & ~F.col("b").isin(*banned_vertices))
     for a, b in banned_edges:
         steps = steps.filter(~((F.col("a") == a) & (F.col("b") == b)))
+    steps = settle(steps)
     best = settle(_sources(graph, sources).select("source", F.col("source").alias("vertex"), F.lit(0.0).alias("distance"), F.array("source").alias("path")))
-    now = best
+    now, rounds = best, Rounds()
     for _ in range(MAX_ROUNDS):
         tried = now.join(steps, F.col("vertex") == F.col("a")).groupBy("source", F.col("b").alias("vertex")).agg(F.min(F.struct((F.col("distance") + F.col("w")).alias("d"), F.concat("path", F.array("b")).alias("p"))).alias("t"))
         known = best.select(F.col("source").alias("s2"), F.col("vertex").alias("v2"), F.col("distance").alias("d2"))
         better = tried.join(known, (F.col("source") == F.col("s2")) & (F.col("vertex") == F.col("v2")), "left").filter("d2 IS NULL OR t.d < d2")
-        now = settle(better.select("source", "vertex", F.col("t.d").alias("distance"), F.col("t.p").alias("path")))
-        if now.isEmpty():
+        now, some = rounds.settle(better.select("source", "vertex", F.col("t.d").alias("distance"), F.col("t.p").alias("path")))
+        if not some:
             return best
-        best = settle(best.join(now.select("source", "vertex"), ["source", "vertex"], "left_anti").union(now))
+        best = rounds.settle(best.join(now.select("source", "vertex"), ["source", "vertex"], "left_anti").union(now))[0]
     raise PathError(f"no fixpoint in {MAX_ROUNDS} rounds")
 
 
@@ -113,8 +114,9 @@ def shortest_paths(graph, sources, target: int, labels=None, direction: str = "o
 def bidirectional_paths(graph, source: int, target: int, labels=None, max_depth: int | None = None) -> list[int] | None:
     """A shortest path by two frontiers: forward from the source, backward from the target."""
     sides = [bfs(graph, source, 0, labels, "out", paths=True), bfs(graph, target, 0, labels, "in", paths=True)]
-    steps = [Walks(d, labels).steps(graph).select("a", "b").distinct() for d in ("out", "in")]
-    fronts = list(sides)
+    forth = settle(Walks("out", labels).steps(graph).select("a", "b"))
+    steps = [forth, forth.select(F.col("b").alias("a"), F.col("a").alias("b"))]
+    fronts, rounds = list(sides), Rounds()
     for depth in count() if max_depth is None else range(max_depth + 1):
         met = sides[0].select("vertex", F.col("path").alias("p"), F.col("depth").alias("x")).join(sides[1].select("vertex", F.col("path").alias("q"), F.col("depth").alias("y")), "vertex")
         hit = met.orderBy(F.col("x") + F.col("y"), "p", "q").limit(1).collect()
@@ -123,12 +125,12 @@ def bidirectional_paths(graph, source: int, target: int, labels=None, max_depth:
         i = depth % 2
         reached = fronts[i].join(steps[i], F.col("vertex") == F.col("a")).groupBy("source", F.col("b").alias("vertex")).agg(F.min(F.concat("path", F.array("b"))).alias("path"))
         fresh = reached.join(sides[i].select("source", "vertex"), ["source", "vertex"], "left_anti")
-        fronts[i] = settle(fresh.select("source", "vertex", F.lit(depth // 2 + 1).cast("long").alias("depth"), "path"))
-        if fronts[i].isEmpty():
+        fronts[i], some = rounds.settle(fresh.select("source", "vertex", F.lit(depth // 2 + 1).cast("long").alias("depth"), "path"))
+        if not some:
             return None
         sides[i] = sides[i].union(fronts[i])
         if depth % 8 > 5:  # plans don't grow
-            sides[i] = settle(sides[i])
+            sides[i] = rounds.settle(sides[i])[0]
     return None
 
 
@@ -168,21 +170,28 @@ def iddfs(graph, source: int, target: int, max_depth: int, labels=None, directio
 
 
 def _cheapest(after: dict, source: int, target: int, no_vertices: set, no_edges: set, guess=None):
-    """Dijkstra or, with a guess of the remaining cost, A*, over an adjacency map."""
+    """Dijkstra or, with a guess of the remaining cost, A*, over an adjacency map.
+
+    A* opens a vertex again that it reaches more cheaply, and ends when nothing left can be cheaper, so the
+    result is right for every guess; a good guess finds a bound early.
+    """
     h = guess or (lambda v: 0.0)
-    queue, done = [(h(source), 0.0, [source])], set()
+    queue, best, answer = [(h(source), 0.0, [source])], {source: 0.0}, None
     while queue:
         _, cost, path = heapq.heappop(queue)
         v = path[-1]
+        if cost > best[v] or (answer and cost >= answer[0]):
+            continue
         if v == target:
-            return cost, path
-        if v in done:
+            answer = (cost, path)
+            if guess is None:  # a guess may be too high somewhere: then what is left may still be cheaper
+                return answer
             continue
-        done.add(v)
         for w, b in after.get(v, ()):
-            if b not in done and b not in no_vertices and (v, b) not in no_edges:
+            if b not in no_vertices and (v, b) not in no_edges and cost + w < best.get(b, float("inf")):
+                best[b] = cost + w
                 heapq.heappush(queue, (cost + w + h(b), cost + w, [*path, b]))
-    return None
+    return answer
 
 
 def _adjacency(graph, walks: Walks, source: int) -> dict:

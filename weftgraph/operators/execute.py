@@ -59,11 +59,15 @@ class State:
     seed: int | None = None
     effects: dict = field(default_factory=dict)
     names: list | None = None  # of a map in _val that is a struct
+    bound: dict = field(default_factory=dict)  # a bound label's column: (labels of its element, {key: (column, type)})
+    ahead: dict = field(default_factory=dict)  # label: the keys that later steps read of it
 
     # -- columns ----------------------------------------------------------------------------
     def carried(self) -> list[str]:
         out = [*self.origin, *(c for c, _ in self.order)]
         out += [c for bs in self.binds.values() for c, _, _ in bs]
+        if self.bound:
+            out += [c for _, kept in self.bound.values() for c, _ in kept.values() if c in self.df.columns]
         out += [c for c in ("_path", "_loops", "_sack", "_bulk", "_rep") if c in self.df.columns]
         return list(dict.fromkeys(out))
 
@@ -249,6 +253,8 @@ def start(graph, steps) -> State:
         kind = first.name.lower()
         ids = [a for x in first.args for a in (x if isinstance(x, (list, tuple)) else [x])]
         wanted = frozenset(steps[1].args) if len(steps) > 1 and steps[1].name == "hasLabel" else None
+        if kind == "v" and ids and (owned := graph.labels_of(ids)) is not None:
+            wanted = owned if wanted is None else wanted & owned
         view = graph.view(kind, wanted)
         if ids:
             view = view.filter(F.col("id").isin(*ids))
@@ -306,12 +312,32 @@ def walk(s: State, steps) -> State:
         rest = steps[n:]
         if mergeable and step.name in HOPS and s.kind == "v" and (n > 0 or s.bulk) and all(x.name in BULK_SAFE and not list(nested(x)) for x in rest) and rest[-1].name in ("count", "groupCount") and "_sack" not in s.df.columns and any(x.name in HOPS for x in steps[:n]):
             s = merge(s)
+        if step.name == "as":
+            s = replace(s, ahead=read_of(step.args, rest[1:]))
         s = STEP[step.name](s, step)
         if s.path and step.name in PATH_STEPS:
             s = tracked(s)
     return s
 
 
+def read_of(labels, steps) -> dict:
+    """Keys that select().by() and math().by() read of bound labels."""
+    out: dict = {}
+    for x in steps:
+        bys = [args[0] if args else None for m, args in x.mods if m == "by"]
+        if x.name == "select" and bys:
+            pairs = [(a, bys[n % len(bys)]) for n, a in enumerate(x.args)]
+        else:
+            pairs = [args for m, args in x.mods if m == "by" and len(args) == 2] if x.name == "math" else []
+        for label, key in pairs:
+            if label in labels and isinstance(key, str):
+                out.setdefault(label, set()).add(key)
+        for t in nested(x):
+            for label, keys in read_of(labels, t.steps).items():
+                out.setdefault(label, set()).update(keys)
+    return out
+
+
 def merge(s: State) -> State:
     """Traversers at one vertex become one with their number as bulk."""
     times = F.sum("_bulk") if s.bulk else F.count("*")
@@ -438,22 +464,24 @@ def field_of(s: State, key: str) -> tuple[Column, T.DataType]:
 # -- navigation --------------------------------------------------------------------------------
 
 
-def edges(s: State, labels) -> DataFrame:
-    wanted = frozenset(labels) if labels else None
-    return s.graph.view("e", wanted)
-
-
 def hop(s: State, step: Step) -> State:
     if s.kind != "v":
         return s.filtered(F.lit(False)) if s.kind == "e" else _nothing(s)
-    e = edges(s, step.args)
+    asked = frozenset(step.args) if step.args else None
     name = step.name.rstrip("E")
     sides = {"out": [("src", "dst", 0)], "in": [("dst", "src", 0)], "both": [("src", "dst", 0), ("dst", "src", 1)]}[name]
     to_edge = step.name.endswith("E")
-    types = s.graph.properties("e", frozenset(step.args) if step.args else None)
-    props = [F.col(f"`{k}`").alias(f"p:{k}") for k in types] if to_edge else []
+    ways = {a: s.graph.leaving(asked, n, s.labels) for n, a in enumerate(("src", "dst"))}
+    wanted = [ways[a] for a, _, _ in sides]
+    edge_labels = None if any(w is None for w in wanted) else frozenset().union(*wanted)
+    there = [s.graph.reached(ways[a], 1 if a == "src" else 0) for a, _, _ in sides]
+    found = None if any(x is None for x in there) else frozenset().union(*there)
+    over = asked if asked is not None else edge_labels
+    types = s.graph.properties("e", over)
     parts = []
     for a, b, d in sides:
+        e, own = s.graph.view("e", ways[a]), s.graph.properties("e", ways[a])
+        props = [(V.as_common(F.col(f"`{k}`"), own[k], t) if k in own else F.lit(None).cast(t)).alias(f"p:{k}") for k, t in types.items()] if to_edge else []
         cols = [F.col(a).alias("_a"), F.col(b).alias("_b"), F.lit(d).alias("_d"), F.col("id").alias("_eid")]
         if to_edge:
             cols += [F.col("src").alias("_s"), F.col("dst").alias("_t"), F.col("label").alias("_l"), F.col("__keys").alias("_k")]
@@ -468,9 +496,9 @@ def hop(s: State, step: Step) -> State:
     carry = [F.col(_q(c)) for c in s.carried()]
     if to_edge:
         df = met.select(*carry, *extra, F.col("_eid").alias("_n"), F.col("_s").alias("_src"), F.col("_t").alias("_dst"), F.col("_id").alias("_prev"), F.col("_l").alias("_label"), F.col("_k").alias("__keys"), *(F.col(f"`p:{k}`") for k in types)).withColumnRenamed("_n", "_id")
-        return replace(s, df=df, kind="e", labels=frozenset(step.args) if step.args else None, loaded=True, order=order)
+        return replace(s, df=df, kind="e", labels=over, loaded=True, order=order)
     df = met.select(*carry, *extra, F.col("_b").alias("_n")).withColumnRenamed("_n", "_id")
-    return replace(s, df=df, labels=None, loaded=False, order=order)
+    return replace(s, df=df, labels=found, loaded=False, order=order)
 
 
 def endpoint(s: State, step: Step) -> State:
@@ -489,7 +517,9 @@ def endpoint(s: State, step: Step) -> State:
         other = F.when(F.col("_prev").isNull(), F.col("_dst")).when(F.col("_prev") == F.col("_src"), F.col("_dst")).when(F.col("_prev") == F.col("_dst"), F.col("_src"))
         end = {"outV": F.col("_src"), "inV": F.col("_dst"), "otherV": other}[step.name]
         df = s.df.select(*carry, *extra, end.alias("_n")).filter("_n IS NOT NULL")
-    return replace(s, df=df.withColumnRenamed("_n", "_id"), kind="v", labels=None, loaded=False, order=order)
+    known = [s.graph.reached(s.labels, side) for side in {"outV": (0,), "inV": (1,)}.get(step.name, (0, 1))]
+    found = None if any(x is None for x in known) else frozenset().union(*known)
+    return replace(s, df=df.withColumnRenamed("_n", "_id"), kind="v", labels=found, loaded=False, order=order)
 
 
 def _nothing(s: State) -> State:
@@ -767,15 +797,20 @@ def path(s: State, step: Step) -> State:
 
 def bind(s: State, step: Step) -> State:
     name, (c, vtype) = fresh("b"), s.value()
-    binds = dict(s.binds)
+    binds, kept = dict(s.binds), {}
     for label in step.args:
         binds[label] = [*binds.get(label, []), (name, s.kind, vtype)]
-    return replace(s, df=s.df.withColumn(name, c), binds=binds)
+        if s.kind != "x" and s.loaded:  # what is read here needn't be joined again later
+            kept |= {k: (fresh("k"), s.types()[k]) for k in s.ahead.get(label, ()) if k in s.types()}
+    df = s.df.withColumns({name: c} | {own: F.col(f"`p:{k}`") for k, (own, _) in kept.items()})
+    return replace(s, df=df, binds=binds, bound={**s.bound, name: (s.labels, kept)} if s.kind != "x" else s.bound)
 
 
 def select(s: State, step: Step) -> State:
     a = step.args
     if a in (("keys",), ("values",)) and a[0] not in s.binds:
+        if s.names == ["key", "value"]:  # an entry of a group
+            return s.now(*field_of(s, "key" if a[0] == "keys" else "value"))
         if isinstance(s.vtype, T.StructType):
             ns = s.vtype.names
             if a[0] == "keys":
@@ -798,7 +833,7 @@ def select(s: State, step: Step) -> State:
         if kind == "x":
             return s.now(F.col(col), vtype)
         df = s.df.select(*map(_q, s.carried()), F.col(col).alias("_id"))
-        out = replace(s, df=df, kind=kind, labels=None, loaded=False, vtype=None, names=None)
+        out = replace(s, df=df, kind=kind, labels=s.bound.get(col, (None,))[0], loaded=False, vtype=None, names=None)
         return ends(out) if kind == "e" else out
     cols, fields = [], []
     for n, x in enumerate(a):
@@ -808,13 +843,18 @@ def select(s: State, step: Step) -> State:
             cols.append(F.col(col).alias(x))
             fields.append(T.StructField(x, vtype if kind == "x" else T.LongType()))
             continue
-        side = replace(s, df=s.df.select(*map(_q, s.df.columns)).withColumn("_id", F.col(col)), kind=kind, labels=None, loaded=False)
+        known, kept = s.bound.get(col, (None, {}))
+        if isinstance(by, str) and by in kept and kept[by][0] in s.df.columns:
+            cols.append(F.col(kept[by][0]).alias(x))
+            fields.append(T.StructField(x, kept[by][1]))
+            continue
+        side = replace(s, df=s.df.select(*map(_q, s.df.columns)).withColumn("_id", F.col(col)), kind=kind, labels=known, loaded=False)
         if kind == "e":
             side = ends(side)
         clean = replace(side, df=side.df.drop(*(c for c in side.df.columns if c.startswith("p:") or c in ("_label", "__keys"))))
         got, c, t = selector(clean, by)
         name = fresh("s")
-        s = replace(s, df=got.df.withColumn(name, c).drop(*(x for x in got.df.columns if x.startswith("p:") or x in ("_label", "__keys"))), kind=kind, loaded=False)
+        s = replace(s, df=got.df.withColumn(name, c).drop(*(x for x in got.df.columns if x.startswith("p:") or x in ("_label", "__keys"))), kind=kind, labels=known, loaded=False)
         cols.append(F.col(name).alias(x))
         fields.append(T.StructField(x, t))
     if len(a) == 1:
@@ -824,7 +864,7 @@ def select(s: State, step: Step) -> State:
 
 def ends(s: State) -> State:
     """An edge state that knows only ids, with its endpoints."""
-    e = s.graph.view("e").select(F.col("id").alias("_ei"), F.col("src").alias("_src"), F.col("dst").alias("_dst"))
+    e = s.graph.view("e", s.labels).select(F.col("id").alias("_ei"), F.col("src").alias("_src"), F.col("dst").alias("_dst"))
     df = s.df.drop("_src", "_dst", "_prev").join(e, F.col("_id") == F.col("_ei")).drop("_ei")
     return replace(s, df=df.withColumn("_prev", F.lit(None).cast("long")))
 
@@ -879,11 +919,16 @@ def math(s: State, step: Step) -> State:
             if kind != "x":
                 if key is None:
                     return _empty(s.now(F.lit(None).cast("double"), T.DoubleType()))
-                view = s.graph.view(kind)
-                v = fresh("m")
-                look = view.select(F.col("id").alias(f"{v}i"), F.col(f"`{key}`").alias(v))
-                s = replace(s, df=s.df.join(look, F.col(col) == F.col(f"{v}i"), "left").drop(f"{v}i"))
-                c, vtype = F.col(v), s.graph.properties(kind)[key]
+                known, kept = s.bound.get(col, (None, {}))
+                if key in kept and kept[key][0] in s.df.columns:
+                    c, vtype = F.col(kept[key][0]), kept[key][1]
+                elif key in s.graph.properties(kind, known):
+                    v = fresh("m")
+                    look = s.graph.view(kind, known).select(F.col("id").alias(f"{v}i"), F.col(f"`{key}`").alias(v))
+                    s = replace(s, df=s.df.join(look, F.col(col) == F.col(f"{v}i"), "left").drop(f"{v}i"))
+                    c, vtype = F.col(v), s.graph.properties(kind, known)[key]
+                else:
+                    c, vtype = F.lit(None).cast("double"), T.DoubleType()
         else:
             return _empty(s.now(F.lit(None).cast("double"), T.DoubleType()))
         number = V.number(c, vtype)
@@ -1088,7 +1133,8 @@ def together(states: list[State]) -> State:
     else:
         order, df = [], reduce(DataFrame.unionByName, (x.df.select(*cols) for x, cols in frames))
     binds = {k: bs for k, bs in base.binds.items() if all(c in df.columns for c, _, _ in bs)}
-    return replace(base, df=df, kind=states[0].kind, vtype=vtype, labels=None, loaded=False, order=order, binds=binds, names=base.names if all(x.names == base.names for x in states) else None)
+    known = None if states[0].kind == "x" or any(x.labels is None for x in states) else frozenset().union(*(x.labels for x in states))
+    return replace(base, df=df, kind=states[0].kind, vtype=vtype, labels=known, loaded=False, order=order, binds=binds, names=base.names if all(x.names == base.names for x in states) else None)
 
 
 def union(s: State, step: Step) -> State:

@@ -52,9 +52,10 @@ def append(graph: PropertyGraph, kind: str, label: str, rows: DataFrame) -> Prop
 
 
 def update(graph: PropertyGraph, kind: str, key: str, changes: DataFrame, dtype: T.DataType, remove: bool = False) -> PropertyGraph:
-    """Set a property from (id, value); the last value of an id wins. ``remove`` makes the key absent."""
+    """Set a property from (id, value[, turn]); an id's value of the last turn wins. ``remove`` makes the key absent."""
     tables = dict(graph.vertices if kind == "v" else graph.edges)
-    changes = changes.groupBy("id").agg(F.max("value").alias("__new"))
+    last = F.max_by("value", "turn") if "turn" in changes.columns else F.max("value")
+    changes = changes.groupBy("id").agg(last.alias("__new"))
     for label, df in tables.items():
         own = {f.name: f.dataType for f in df.schema.fields}
         if remove and key not in own:
@@ -148,7 +149,7 @@ def apply_traversal(t):
             pairs = src.crossJoin(dst.withColumnRenamed("id", "dst")).withColumnRenamed("id", "src") if "from" in ends or "to" in ends and current is None else src.withColumnRenamed("id", "src").crossJoin(dst.withColumnRenamed("id", "dst"))
             known = graph.view("v").select("id")
             pairs = pairs.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
-            rows = settle(pairs.withColumn("id", F.row_number().over(Window.orderBy("src", "dst")) - 1 + F.lit(next_id(graph, "e"))).select(F.col("id").cast("long").alias("id"), "src", "dst"))
+            rows = numbered(pairs.select("src", "dst"), "id", next_id(graph, "e")).select("id", "src", "dst")
             if props:
                 made = PropertyGraph.from_rows(graph.spark, [], [{"id": 0, "label": s.args[0], "src": 0, "dst": 0, **dict(props)}]).edges[s.args[0]]
                 rows = rows.join(made.drop("id", "src", "dst"))
@@ -198,7 +199,7 @@ def run_mutation(graph, query: Query, params: dict):
     """Match once, then apply the changing clauses in order; (new graph, counters)."""
     from weftgraph.plans.gql_compile import CLAUSE, Rows, one_row
 
-    rows = Rows(graph, None, params=params)
+    rows = Rows(graph, None, params=params, turns=())
     counts = dict.fromkeys(COUNTERS, 0)
     for n, clause in enumerate(query.clauses):
         if clause[0] in CHANGE:
@@ -243,12 +244,22 @@ def create(rows, clause, counts):
 
 def number(rows, name: str, kind: str):
     """New ids, one for each row; settled, as they must not change afterwards."""
-    order = [F.col(f"`{c}`") for c in rows.df.columns if c in rows.vars] or [F.lit(1)]
-    ids = (F.row_number().over(Window.orderBy(*order)) - 1 + F.lit(next_id(rows.graph, kind))).cast("long")
-    df = settle(rows.df.withColumn(name, ids))
+    df = numbered(rows.df, name, next_id(rows.graph, kind))
     return replace(rows, df=df).bind(name, kind, ()), name
 
 
+def numbered(df: DataFrame, name: str, first: int) -> DataFrame:
+    """Rows with ids from ``first`` on without gaps: each task counts its own, and begins where the ones before it end."""
+    held = settle(df.select("*", F.spark_partition_id().alias("__task"), F.monotonically_increasing_id().alias("__row")))
+    sizes = held.groupBy("__task").agg(F.count("*").alias("n"), F.min("__row").alias("low")).orderBy("__task").collect()  # a row for each task
+    starts, at = [], first
+    for r in sizes:
+        starts.append((r["__task"], at - r.low))
+        at += r.n
+    known = F.broadcast(df.sparkSession.createDataFrame(starts, "__task int, __start long"))
+    return held.join(known, "__task").withColumn(name, F.col("__row") + F.col("__start")).drop("__task", "__row", "__start")
+
+
 def make(rows, kind: str, label: str, name: str, props: dict, ends: list):
     from weftgraph.plans.gql_compile import value
 
@@ -268,14 +279,25 @@ def set_(rows, clause, counts):
         kind = rows.vars[var][0]
         rows, (c, t) = value(rows, e)
         t = T.StringType() if isinstance(t, T.NullType) else t
-        changes = settle(rows.df.select(F.col(f"`{var}`").alias("id"), c.cast(t).alias("value")))
-        counts["properties_set"] += changes.select("id").distinct().count()
+        turn = F.struct(*(F.col(x) for x in rows.turns or () if x in rows.df.columns), *(F.col(f"`{v}`") for v, (k, _) in rows.vars.items() if k != "x"))
+        changes = settle(rows.df.select(F.col(f"`{var}`").alias("id"), c.cast(t).alias("value"), turn.alias("turn")))
+        hit = changes.select("id").distinct().count()
+        if reads(e, var, key) and changes.count() > hit:
+            raise MutationError(f"{var}.{key} is set from itself by several rows of one element")
+        counts["properties_set"] += hit
         df = settle(rows.df)
         rows = replace(rows, graph=update(rows.graph, kind, key, changes, t), df=df.drop(f"{var}${key}") if f"{var}${key}" in df.columns else df)
         rows = replace(rows, df=rows.df.drop(*(x for x in rows.df.columns if x.startswith(f"{var}$"))))
     return rows, counts
 
 
+def reads(e, var: str, key: str) -> bool:
+    """Whether an expression reads a property."""
+    if isinstance(e, (list, tuple)):
+        return (len(e) == 3 and e[0] == "prop" and e[1] == ("var", var) and e[2] == key) or any(reads(x, var, key) for x in e)
+    return False
+
+
 def remove_keys(rows, clause, counts):
     for var, key in clause[1]:
         ids = settle(rows.df.select(F.col(f"`{var}`").alias("id"), F.lit(None).cast("string").alias("value")))

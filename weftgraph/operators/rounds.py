@@ -3,7 +3,7 @@
 Before each round a traverser leaves if it has made ``times`` rounds or meets ``until``. Without emit, one
 that the body leads nowhere leaves as it is. With emit, every result of a round also leaves (if it meets
 the emit condition); ``emit_first`` lets the inputs leave as well. A traverser that both emit and until
-let go leaves once. Each round's frontier is written to the shared folder, so the plan doesn't grow.
+let go leaves once. Each round's results are settled, so the plan doesn't grow; empty ones aren't kept.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import P
 from weftgraph.plans.traversal import Step, Traversal
-from weftgraph.runtime import settle
+from weftgraph.runtime import Rounds
 
 
 def _test(a) -> Traversal:
@@ -40,8 +40,17 @@ def repeated(s, step: Step):
     def picked(x):
         return keep(x, chosen) if chosen is not None else x
 
+    rounds = Rounds()
+
+    def leave(x):
+        df, some = rounds.settle(x.df)
+        if some or not out:
+            out.append(replace(x, df=df))
+
     now = replace(s, df=s.df.withColumn("_loops", F.lit(0).cast("long")))
-    out = [picked(now)] if "emit_first" in mods else []
+    out: list = []
+    if "emit_first" in mods:
+        out.append(picked(now))
     for n in count() if times is None else range(times + 1):
         if times is not None and n >= times:
             if not emit or (n == 0 and "emit_first" not in mods):
@@ -50,18 +59,19 @@ def repeated(s, step: Step):
         if until is not None:
             done = keep(now, until)
             if not emit or (n == 0 and "emit_first" not in mods):
-                out.append(done)
+                leave(done)
             elif chosen is not None:
-                out.append(keep(done, chosen, anti=True))
+                leave(keep(done, chosen, anti=True))
             now = keep(now, until, anti=True)
         if not emit:
-            out.append(keep(now, body, anti=True))
+            leave(keep(now, body, anti=True))
         after = walk(now, body.steps)
         after = replace(after, df=after.df.withColumn("_loops", F.lit(n + 1).cast("long")))
-        after = replace(after, df=settle(after.df))
-        if emit:
+        df, some = rounds.settle(after.df)
+        after = replace(after, df=df)
+        if emit and (some or not out):
             out.append(picked(after))
         now = after
-        if (times is None or n + 1 < times) and now.df.isEmpty():
+        if (times is None or n + 1 < times) and not some:
             break
     return together(out)

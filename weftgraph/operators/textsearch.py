@@ -1,18 +1,25 @@
-"""Full-text search: postings as a DataFrame, scored by BM25.
-
-An index is a plan, not a structure to maintain: postings (id, term, tf, positions) are derived from the
-element view with native string functions, and only the query's terms survive the first filter. Document
-lengths and frequencies are aggregates. Stemming runs in the JVM too, as a chain of suffix rules.
+"""Full-text search: postings as tables, scored by BM25.
+
+Postings (id, term, tf, len, positions) and documents' lengths are either a plan over the element view, with
+native string functions, or stored: ``store_index`` writes them once, sorted by term, so that a search reads
+the row groups of its terms and the narrow table of lengths. A stored index grows by segments: ``upsert``
+and ``delete`` write what changed, later segments hide the ids of earlier ones, ``merge`` makes one segment
+of all. A segment counts once its manifest is written, so a failed write leaves nothing visible; an index
+object names its segments and is a snapshot. English terms are reduced by the Porter2 stemmer.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import uuid
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.stemming import stemmed
+
 K1, B = 1.2, 0.75
 LONGEST = 255
 
@@ -44,25 +51,13 @@ class Analyzer:
         words = _short(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
         if self.name == "standard":
             return words
-        return F.transform(F.filter(words, lambda w: ~w.isin(STOP_WORDS)), stem)
+        return stemmed(F.filter(words, lambda w: ~w.isin(STOP_WORDS)))
 
 
 def _short(tokens: Column) -> Column:
     return F.filter(tokens, lambda w: (w != "") & (F.length(w) <= LONGEST))
 
 
-def stem(w: Column) -> Column:
-    """English suffix stripping in the manner of Porter's first steps."""
-    out = F.regexp_replace(w, r"(ss|i)es$", "$1")
-    out = F.regexp_replace(out, r"([^s])s$", "$1")
-    out = F.regexp_replace(out, r"(.*[aeiouy].*)(?:ing|ed)(?:ly)?$", "$1")
-    out = F.regexp_replace(out, r"([^aeioulsz])\1$", "$1")
-    out = F.regexp_replace(out, r"(.*[aeiou].*)y$", "$1i")
-    out = F.regexp_replace(out, r"(.{3,})(?:ational|ation|ator)$", "$1ate")
-    out = F.regexp_replace(out, r"(.{3,})(?:fulness|ousness|iveness|ness|ment|ful)$", "$1")
-    return F.regexp_replace(out, r"(.{3,})e$", "$1")
-
-
 @dataclass(frozen=True)
 class TextIndex:
     """What is indexed: an element kind's property, and how it is analysed."""
@@ -72,16 +67,126 @@ class TextIndex:
     label: str | None = None
     analyzer: Analyzer = field(default_factory=Analyzer)
     positions: bool = True
+    path: str | None = None
+    segments: tuple = ()  # of a stored index, oldest first
 
 
 def create_index(graph, kind: str, key: str, label: str | None = None, analyzer: Analyzer | None = None, positions: bool = True):
     """A graph that knows the index."""
-    from dataclasses import replace
-
     index = TextIndex(kind, key, label, analyzer or Analyzer(), positions)
     return replace(graph, text={**graph.text, (kind, key): index})
 
 
+# -- stored indexes ----------------------------------------------------------------------------
+
+SEGMENT = "id long, term string, tf long, len long, positions array<int>"
+
+
+def store_index(graph, kind: str, key: str, path: str):
+    """The graph with the index on ``key`` written under ``path``."""
+    index = replace(graph.text[(kind, key)], path=path, segments=())
+    index = _add_segment(graph.spark, index, _analysed(graph, index), None)
+    return replace(graph, text={**graph.text, (kind, key): index})
+
+
+def open_index(graph, kind: str, key: str, path: str):
+    """The graph with the last committed state of a stored index."""
+    found = json.loads(graph.spark.read.text(f"{path}/manifests", wholetext=True).agg(F.max("value")).first()[0])
+    index = TextIndex(kind, found["key"], found["label"], Analyzer(*found["analyzer"]), found["positions"], path, tuple(found["segments"]))
+    return replace(graph, text={**graph.text, (kind, key): index})
+
+
+def upsert(graph, kind: str, key: str, rows: DataFrame):
+    """The graph with (id, text) rows added to the stored index, in place of what their ids had; null texts go."""
+    index = graph.text[(kind, key)]
+    docs = rows.select("id", F.col("text"))
+    return _changed(graph, index, docs.filter("text IS NOT NULL").select("id", index.analyzer.tokens(F.col("text")).alias("tokens")), docs.select("id"))
+
+
+def delete(graph, kind: str, key: str, ids: DataFrame):
+    """The graph with the ids' texts gone from the stored index."""
+    return _changed(graph, graph.text[(kind, key)], None, ids.select("id"))
+
+
+def merge(graph, kind: str, key: str):
+    """The graph with all segments of the stored index made one."""
+    index = graph.text[(kind, key)]
+    live, lengths = _live(graph.spark, index, "postings"), _live(graph.spark, index, "lengths")
+    return replace(graph, text={**graph.text, (kind, key): _write(graph.spark, replace(index, segments=()), live, lengths, None)})
+
+
+def _changed(graph, index: TextIndex, docs: DataFrame | None, gone: DataFrame):
+    return replace(graph, text={**graph.text, (index.kind, index.key): _add_segment(graph.spark, index, docs, gone)})
+
+
+def _add_segment(spark, index: TextIndex, docs: DataFrame | None, gone: DataFrame | None) -> TextIndex:
+    docs = docs if docs is not None else spark.createDataFrame([], "id long, tokens array<string>")
+    return _write(spark, index, _postings_of(docs), docs.select("id", F.size("tokens").cast("long").alias("len")), gone)
+
+
+def _write(spark, index: TextIndex, postings: DataFrame, lengths: DataFrame, gone: DataFrame | None) -> TextIndex:
+    name = f"{len(index.segments):05d}-{uuid.uuid4().hex[:12]}"
+    base = f"{index.path}/{name}"
+    postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{base}/postings")
+    lengths.write.parquet(f"{base}/lengths")
+    (gone if gone is not None else lengths.limit(0)).select("id").distinct().write.parquet(f"{base}/gone")
+    out = replace(index, segments=(*index.segments, name))
+    a = out.analyzer
+    state = {"at": _next(spark, index.path), "key": out.key, "label": out.label, "analyzer": [a.name, a.least, a.most], "positions": out.positions, "segments": list(out.segments)}
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("append").text(f"{index.path}/manifests")
+    return out
+
+
+def _next(spark, path: str) -> str:
+    """Manifests are ordered by this number, which their text begins with."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return "000000000000"
+    last = spark.read.text(f"{path}/manifests", wholetext=True).agg(F.max("value")).first()[0]
+    return f"{int(json.loads(last)['at']) + 1:012d}" if last else "000000000000"
+
+
+def _live(spark, index: TextIndex, part: str, terms=None) -> DataFrame:
+    """Rows of all segments that no later segment hides."""
+    out = None
+    for n, name in enumerate(index.segments):
+        rows = spark.read.parquet(f"{index.path}/{name}/{part}")
+        rows = rows.filter(terms) if terms is not None else rows
+        later = index.segments[n + 1 :]
+        if later:
+            rows = rows.join(reduce(DataFrame.union, (spark.read.parquet(f"{index.path}/{x}/gone") for x in later)).distinct(), "id", "left_anti")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _analysed(graph, index: TextIndex) -> DataFrame:
+    """(id, tokens) of all indexed elements."""
+    labels = frozenset([index.label]) if index.label else None
+    view = graph.view(index.kind, labels)
+    return view.filter(F.col(f"`{index.key}`").isNotNull()).select("id", index.analyzer.tokens(F.col(f"`{index.key}`")).alias("tokens"))
+
+
+def _postings_of(docs: DataFrame) -> DataFrame:
+    each = docs.select("id", F.size("tokens").cast("long").alias("len"), F.posexplode("tokens").alias("at", "term"))
+    return each.groupBy("id", "term", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")).select("id", "term", "tf", "len", "positions")
+
+
+def postings(graph, index: TextIndex, terms) -> DataFrame:
+    """Postings of the terms that pass a test of the column ``term``."""
+    if index.path:
+        return _live(graph.spark, index, "postings", terms(F.col("term")))
+    docs = _analysed(graph, index).withColumn("len", F.size("tokens").cast("long"))
+    own = F.filter(F.transform("tokens", lambda w, i: F.struct(w.alias("term"), i.cast("int").alias("at"))), lambda x: terms(x["term"]))
+    each = docs.select("id", "len", F.explode(own).alias("x")).select("id", "len", "x.*")
+    return each.groupBy("id", "term", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")).select("id", "term", "tf", "len", "positions")
+
+
+def lengths(graph, index: TextIndex) -> DataFrame:
+    """(id, len) of every indexed text."""
+    return _live(graph.spark, index, "lengths") if index.path else _analysed(graph, index).select("id", F.size("tokens").cast("long").alias("len"))
+
+
 # -- queries -----------------------------------------------------------------------------------
 
 
@@ -148,24 +253,15 @@ def hits(graph, kind: str, key: str, query, k: int) -> DataFrame:
     return scores(graph, index, of_mode("Any", query)).orderBy(F.col("score").desc(), "id").limit(k)
 
 
-def documents(graph, index: TextIndex) -> DataFrame:
-    """(id, tokens) of all indexed elements."""
-    labels = frozenset([index.label]) if index.label else None
-    view = graph.view(index.kind, labels)
-    return view.filter(F.col(f"`{index.key}`").isNotNull()).select("id", index.analyzer.tokens(F.col(f"`{index.key}`")).alias("tokens"))
-
-
 def scores(graph, index: TextIndex, query: TextQ) -> DataFrame:
     """(id, score) of every matching element."""
     query.check()
-    docs = documents(graph, index)
     if query.op == "not":
-        inner = scores(graph, index, query.args[0])
-        return docs.select("id").join(inner.select("id"), "id", "left_anti").withColumn("score", F.lit(1.0))
+        return lengths(graph, index).select("id").join(scores(graph, index, query.args[0]).select("id"), "id", "left_anti").withColumn("score", F.lit(1.0))
     if query.op in ("and", "or"):
         parts = [scores(graph, index, q) for q in query.args if q.op != "not"]
         if not parts:
-            return docs.select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
+            return lengths(graph, index).select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
         n = len(parts)
         both = reduce(DataFrame.union, parts).groupBy("id").agg(F.sum("score").alias("score"), F.count("*").alias("n"))
         out = both.filter(F.col("n") == n) if query.op == "and" else both
@@ -173,55 +269,51 @@ def scores(graph, index: TextIndex, query: TextQ) -> DataFrame:
             if q.op == "not":
                 out = out.join(scores(graph, index, q.args[0]).select("id"), "id", "left_anti")
         return out.select("id", "score")
-    return leaf(docs, index, query)
+    return leaf(graph, index, query)
 
 
-def terms_of(graph_spark, analyzer: Analyzer, text: str) -> list[str]:
-    row = graph_spark.range(1).select(analyzer.tokens(F.lit(text)).alias("t")).first()
-    return list(dict.fromkeys(row.t))
+def terms_of(spark, analyzer: Analyzer, text: str) -> list[str]:
+    """The text's terms in their order, repeats included."""
+    return list(spark.range(1).select(F.lit(text).alias("t")).select(analyzer.tokens(F.col("t")).alias("t")).first().t)
 
 
-def leaf(docs: DataFrame, index: TextIndex, query: TextQ) -> DataFrame:
-    """BM25 over the query's terms; statistics are taken over all documents."""
-    wanted = terms_of(docs.sparkSession, index.analyzer, query.args[0]) if query.op != "prefix" else [query.args[0].lower()]
-    empty = docs.select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
+def leaf(graph, index: TextIndex, query: TextQ) -> DataFrame:
+    """BM25 over the query's terms; statistics are taken over all documents. A phrase counts as one term
+    whose weight is that of all its terms; a prefix gives every match the score 1."""
+    sequence = terms_of(graph.spark, index.analyzer, query.args[0]) if query.op != "prefix" else [query.args[0].lower()]
+    wanted = list(dict.fromkeys(sequence))
     if query.op == "prefix" and len(query.args[0].split()) != 1:
         raise TextError("a prefix is one term")
-    if not wanted or wanted == [""]:
-        return empty
     if query.op == "phrase" and not index.positions:
         raise TextError("phrases need an index with positions")
-    stats = docs.agg(F.count("*").alias("N"), F.avg(F.size("tokens")).alias("mean"))
-    found = docs.select("id", F.size("tokens").alias("len"), F.filter("tokens", lambda w: w.startswith(wanted[0]) if query.op == "prefix" else w.isin(wanted)).alias("own"), "tokens").filter(F.size("own") > 0)
-    if query.op == "phrase":
-        found = found.filter(phrase_test(wanted_sequence(docs.sparkSession, index.analyzer, query.args[0]), query.args[1]))
-    tf = found.select("id", "len", F.explode("own").alias("term")).groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
+    if not wanted or wanted == [""]:
+        return lengths(graph, index).select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
     if query.op == "prefix":
-        return found.select("id", F.lit(1.0).alias("score"))
-    met = tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # one row of statistics
+        return postings(graph, index, lambda w: w.startswith(wanted[0])).select("id").distinct().select("id", F.lit(1.0).alias("score"))
+    found = postings(graph, index, lambda w: w.isin(wanted))
+    stats = F.broadcast(lengths(graph, index).agg(F.count("*").alias("N"), F.avg("len").alias("mean")))  # one row
+    df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    summed = met.groupBy("id").agg(F.sum(part).alias("score"), F.count("*").alias("n"))
-    if query.op == "all":
-        summed = summed.filter(F.col("n") == len(wanted))
-    return summed.select("id", "score")
-
+    weight = df.crossJoin(stats).select("term", idf.alias("idf"), "mean")
+    saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    if query.op == "phrase":
+        each = found.groupBy("id", "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")).filter(F.size("at") == len(wanted))
+        counted = each.withColumn("tf", phrase_count(sequence, query.args[1])).filter("tf > 0")
+        whole = weight.agg(F.sum("idf").alias("idf"), F.max("mean").alias("mean"))
+        return counted.crossJoin(F.broadcast(whole)).select("id", (F.col("idf") * saturation).alias("score"))
+    summed = found.join(F.broadcast(weight), "term").groupBy("id").agg(F.sum(F.col("idf") * saturation).alias("score"), F.count("*").alias("n"))
+    return (summed.filter(F.col("n") == len(wanted)) if query.op == "all" else summed).select("id", "score")
 
-def wanted_sequence(spark, analyzer: Analyzer, text: str) -> list[str]:
-    return list(spark.range(1).select(analyzer.tokens(F.lit(text)).alias("t")).first().t)
 
+def phrase_count(sequence: list[str], slop: int) -> Column:
+    """From how many places the terms stand in order, with up to ``slop`` other terms in all between them."""
+    places = F.col("at")
 
-def phrase_test(sequence: list[str], slop: int) -> Column:
-    """Whether the terms stand in order, with up to ``slop`` other terms in all between them."""
-    tokens = F.col("tokens")
-    starts = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i) == sequence[0])
+    def after(at, w):
+        return F.array_min(F.filter(places[w], lambda p: (p > at) & (p <= at + slop + 1)))
 
     def reach(i):
-        at = i
-        for w in sequence[1:]:
-            after = F.array_position(F.slice(tokens, at + 2, F.lit(slop + 1)), w).cast("int")
-            at = F.when(after > 0, at + after)
-        return at
+        return reduce(after, sequence[1:], i)
 
-    return F.exists(starts, lambda i: F.coalesce(reach(i) - i - (len(sequence) - 1) <= slop, F.lit(False)))
+    starts = F.filter(places[sequence[0]], lambda i: F.coalesce(reach(i) - i - (len(sequence) - 1) <= slop, F.lit(False)))
+    return F.size(starts)

@@ -46,6 +46,7 @@ class Rows:
     track: str | None = None
     group: list | None = None  # correlated subquery: columns that stand for the outer row
     depth: int = 0
+    turns: tuple | None = None  # of a changing query: columns that tell the order of its rows, outermost first
 
     def bind(self, name: str, kind: str, what) -> Rows:
         return replace(self, vars={**self.vars, name: (kind, what)})
@@ -419,7 +420,10 @@ def unwind(rows: Rows, clause, rest) -> Rows:
     rows, (c, t) = value(one_row(rows), e)
     if not isinstance(t, T.ArrayType):
         c, t = F.when(c.isNotNull(), F.array(c)), T.ArrayType(t)
-    return replace(rows, df=rows.df.select("*", F.explode(c).alias(name))).bind(name, "x", t.elementType)
+    if rows.turns is None:
+        return replace(rows, df=rows.df.select("*", F.explode(c).alias(name))).bind(name, "x", t.elementType)
+    turn = fresh("turn")
+    return replace(rows, df=rows.df.select("*", F.posexplode(c).alias(turn, name)), turns=(*rows.turns, turn)).bind(name, "x", t.elementType)
 
 
 def let(rows: Rows, clause, rest) -> Rows:

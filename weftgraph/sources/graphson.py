@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgraph.functions import geo
 from weftgraph.functions import values as V
@@ -113,15 +114,76 @@ def load(spark: SparkSession, path: str, **options) -> PropertyGraph:
     return loads(spark, spark.read.text(path, wholetext=True).first()[0], **options)
 
 
+def _tagged(c, t):
+    """A property's value in GraphSON, as a Column."""
+    k = V.kind(t)
+    if k in "id" and not isinstance(t, T.BooleanType):
+        return F.struct(F.lit({"i": "g:Int64", "d": "g:Double"}[k]).alias("@type"), c.alias("@value"))
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.struct(F.lit("g:Timestamp").alias("@type"), F.unix_millis(c.cast("timestamp")).alias("@value"))
+    if isinstance(t, T.StructType) and t.names == ["lon", "lat"]:
+        return F.struct(F.lit("g:Point").alias("@type"), F.array(c["lon"], c["lat"]).alias("@value"))
+    if isinstance(t, T.ArrayType):
+        return F.struct(F.lit("g:List").alias("@type"), F.transform(c, lambda x: _tagged(x, t.elementType)).alias("@value"))
+    return c if k in "sb" else F.to_json(c)
+
+
 def lines(graph: PropertyGraph, kind: str, labels=None):
-    """(json) one GraphSON element to a row, made where the rows are; for graphs of any size."""
-    df = graph.view(kind, frozenset(labels) if labels else None)
-    types = graph.properties(kind, frozenset(labels) if labels else None)
-    tag = lambda c, t: F.struct(F.lit({"i": "g:Int64", "d": "g:Double"}[V.kind(t)]).alias("@type"), c.alias("@value")) if V.kind(t) in "id" else c
-    props = F.to_json(F.struct(*(F.when(F.col(f"`{k}`").isNotNull(), tag(F.col(f"`{k}`"), t)).alias(k) for k, t in types.items()))) if types else F.lit("{}")
-    fixed = ["id", "label"] + (["src", "dst"] if kind == "e" else [])
-    head = F.to_json(F.struct(F.lit("g:Vertex" if kind == "v" else "g:Edge").alias("@type"), F.struct(*fixed).alias("@value")))
-    return df.select(head.alias("element"), props.alias("properties"))
+    """(value): one GraphSON element to a row, made where the rows are; for graphs of any size."""
+    wanted = frozenset(labels) if labels else None
+    df, types = graph.view(kind, wanted), graph.properties(kind, wanted)
+    int64 = lambda c: F.struct(F.lit("g:Int64").alias("@type"), F.col(c).alias("@value"))
+
+    def shaped(k, t):
+        c = _tagged(F.col(f"`{k}`"), t)
+        one = F.array(F.struct(F.lit("g:VertexProperty").alias("@type"), c.alias("value"))) if kind == "v" else F.struct(F.lit("g:Property").alias("@type"), F.struct(c.alias("value")).alias("@value"))
+        return F.when(F.col(f"`{k}`").isNotNull(), one).alias(k)
+
+    ends = [int64("src").alias("outV"), int64("dst").alias("inV")] if kind == "e" else []
+    props = [F.struct(*(shaped(k, t) for k, t in types.items())).alias("properties")] if types else []
+    whole = F.struct(F.lit("g:Vertex" if kind == "v" else "g:Edge").alias("@type"), F.struct(int64("id").alias("id"), "label", *ends, *props).alias("@value"))
+    return df.select(F.to_json(whole).alias("value"))
+
+
+def write(graph: PropertyGraph, path: str, vertex_labels=None, edge_labels=None) -> None:
+    """Two folders of lines, ``vertices`` and ``edges``; nothing passes through the driver."""
+    lines(graph, "v", vertex_labels).write.text(f"{path}/vertices")
+    lines(graph, "e", edge_labels).write.text(f"{path}/edges")
+
+
+def _unwrapped(c, t):
+    """The plain value of a column of inferred GraphSON."""
+    if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType) and "value" in t.elementType.names:
+        return _unwrapped(c[0]["value"], t.elementType["value"].dataType)
+    if isinstance(t, T.StructType) and "@value" in t.names:
+        inner = t["@value"].dataType
+        if isinstance(inner, T.StructType) and "value" in inner.names:
+            return _unwrapped(c["@value"]["value"], inner["value"].dataType)
+        if isinstance(inner, T.ArrayType) and isinstance(inner.elementType, T.DoubleType):
+            return F.when(c["@type"] == "g:Point", F.struct(c["@value"][0].alias("lon"), c["@value"][1].alias("lat")))
+        if isinstance(inner, T.ArrayType):
+            return F.transform(c["@value"], lambda x: _unwrapped(x, inner.elementType))
+        return c["@value"]
+    return c
+
+
+def read(spark: SparkSession, path: str) -> PropertyGraph:
+    """A graph from folders of lines. A property's type is the one that all its values have in common; a
+    property that a line doesn't have is absent."""
+    tables: dict[str, dict] = {"vertices": {}, "edges": {}}
+    for part, found in tables.items():
+        raw = spark.read.json(f"{path}/{part}")
+        if "@value" not in raw.columns:
+            continue
+        schema = raw.schema["@value"].dataType
+        fixed = [F.col("`@value`.id.`@value`").alias("id")] + ([F.col("`@value`.outV.`@value`").alias("src"), F.col("`@value`.inV.`@value`").alias("dst")] if part == "edges" else [])
+        props = schema["properties"].dataType if "properties" in schema.names else T.StructType([])
+        cols = [_unwrapped(F.col(f"`@value`.properties.`{f.name}`"), f.dataType).alias(f.name) for f in props.fields]
+        labels = raw.groupBy(F.col("`@value`.label").alias("label")).agg(*(F.count(F.col(f"`@value`.properties.`{f.name}`")).alias(f.name) for f in props.fields)).collect()  # a row for each label
+        for r in labels:
+            own = [c for c, f in zip(cols, props.fields, strict=True) if r[f.name]]
+            found[r.label] = raw.filter(F.col("`@value`.label") == r.label).select(*fixed, *own)
+    return PropertyGraph(spark, tables["vertices"], tables["edges"])
 
 
 def dumps(graph: PropertyGraph, vertex_labels=None, edge_labels=None, pretty: bool = False) -> str:

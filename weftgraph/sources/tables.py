@@ -15,6 +15,10 @@ STRIDE = 10**12
 LINES = 1 << 62
 CODES = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "order": 6, "user": 7, "document": 8}
 
+ENDS = {e: (frozenset(a.split()), frozenset(b.split())) for e, a, b in (("in_region", "nation", "region"), ("in_nation", "customer supplier", "nation"), ("placed", "customer", "order"), ("contains", "order", "part"), ("supplied_by", "part", "supplier"))}
+#: Room for supplier keys beside a part's key: pairs are numbered below line items while part keys are under 2^30.
+SUPPLIERS = 1 << 31
+
 
 def vid(label: str, key):
     return F.lit(CODES[label] * STRIDE) + F.col(key).cast("long")
@@ -60,5 +64,5 @@ def _build(spark: SparkSession, sf_dir: str) -> PropertyGraph:
         "contains": edge(0, _line_id(line), vid("order", "l_orderkey"), vid("part", "l_partkey"), *(F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in line.dtypes))(line),
     }
     pairs = line.select("l_partkey", "l_suppkey").distinct()
-    edges["supplied_by"] = edge(6, F.col("l_partkey") * 1_000_000 + F.col("l_suppkey"), vid("part", "l_partkey"), vid("supplier", "l_suppkey"))(pairs)
-    return PropertyGraph(spark, vertices, edges)
+    edges["supplied_by"] = edge(6, F.col("l_partkey") * SUPPLIERS + F.col("l_suppkey"), vid("part", "l_partkey"), vid("supplier", "l_suppkey"))(pairs)
+    return PropertyGraph(spark, vertices, edges, ends=ENDS, owners=(STRIDE, {code: label for label, code in CODES.items()}))

@@ -23,22 +23,37 @@ OPS = ("vertex_added", "vertex_removed", "vertex_property", "edge_added", "edge_
 
 
 def apply_changes(graph: PropertyGraph, batch: DataFrame) -> PropertyGraph:
-    """A batch as deltas: additions, then properties (the last of each key), then removals."""
+    """A batch as deltas, with the outcome of its changes in the order of ``seq``.
+
+    An element is there afterwards if its last addition or removal is an addition; it then has the last value
+    of each property set since its last removal. A vertex takes along the edges that were there when it went.
+    """
     batch = settle(batch)
-    present = {(r.op, r.label, r.key) for r in batch.select("op", "label", "key").distinct().collect()}
-    for op, label, _ in sorted({(o, lab, "") for o, lab, _ in present if o.endswith("_added")}):
-        rows = batch.filter((F.col("op") == op) & (F.col("label") == label))
-        kind = op[0]
-        graph = mutation.append(graph, kind, label, rows.select("id") if kind == "v" else rows.select("id", "src", "dst"))
-    for op, key in sorted({(o, k) for o, _, k in present if o.endswith("_property")}):
-        kind = op[0]
-        rows = batch.filter((F.col("op") == op) & (F.col("key") == key)).groupBy("id").agg(F.max_by("value", "seq").alias("value"))
-        types = graph.properties(kind)
-        dtype = types.get(key)
-        value = F.col("value") if dtype is None else F.col("value").try_cast(dtype)
-        graph = mutation.update(graph, kind, key, rows.select("id", value.alias("value")), dtype or rows.schema["value"].dataType)
-    for op in sorted({o for o, _, _ in present if o.endswith("_removed")}):
-        graph, _ = mutation.remove(graph, op[0], batch.filter(F.col("op") == op).select("id"))
+    lives = {}
+    for kind, name in (("v", "vertex"), ("e", "edge")):
+        added, removed = F.col("op") == f"{name}_added", F.col("op") == f"{name}_removed"
+        lives[kind] = batch.filter(added | removed).groupBy("id").agg(F.max_by(F.struct(added.alias("here"), "label", "src", "dst", "seq"), "seq").alias("last"), F.max(F.when(removed, F.col("seq"))).alias("gone")).select("id", "last.*", "gone")
+    gone = settle(lives["v"].filter("gone IS NOT NULL").select("id", "gone"))
+    made = {"v": lives["v"].filter("here"), "e": lives["e"].filter("here")}
+    for end in ("src", "dst"):  # edges made before one of their ends went
+        late = gone.select(F.col("id").alias(end), F.col("gone").alias("after"))
+        made["e"] = made["e"].join(late, end, "left").filter("after IS NULL OR after < seq").drop("after")
+    for kind in "ve":
+        lost = lives[kind].filter("gone IS NOT NULL").select("id")
+        if not lost.isEmpty():
+            graph, _ = mutation.remove(graph, kind, lost)
+    for kind in "ve":
+        rows = settle(made[kind])
+        for (label,) in sorted(rows.select("label").distinct().collect()):
+            graph = mutation.append(graph, kind, label, rows.filter(F.col("label") == label).select(*(("id",) if kind == "v" else ("id", "src", "dst"))))
+    for kind, name in (("v", "vertex"), ("e", "edge")):
+        changes = batch.filter(F.col("op") == f"{name}_property")
+        for (key,) in sorted(changes.select("key").distinct().collect()):
+            rows = changes.filter(F.col("key") == key).join(lives[kind].select("id", "gone"), "id", "left").filter("gone IS NULL OR gone < seq")
+            rows = rows.groupBy("id").agg(F.max_by("value", "seq").alias("value"))
+            dtype = graph.properties(kind).get(key)
+            value = F.col("value") if dtype is None else F.col("value").try_cast(dtype)
+            graph = mutation.update(graph, kind, key, rows.select("id", value.alias("value")), dtype or rows.schema["value"].dataType)
     return graph
 
 
@@ -47,19 +62,23 @@ def frozen(graph: PropertyGraph) -> PropertyGraph:
 
 
 def result_of(traversal, graph: PropertyGraph) -> DataFrame:
-    """(id, row): the current result, a row's content as text."""
+    """(id, row, times): the current result, a row's content as text and how often it is there."""
     t = type(traversal)(graph, traversal.steps)
     df = t.df()
     key = F.col("id") if "id" in df.columns else F.xxhash64(*df.columns)
-    return df.select(key.alias("id"), F.to_json(F.struct(*df.columns)).alias("row")).dropDuplicates(["id"])
+    return df.select(key.alias("id"), F.to_json(F.struct(*df.columns)).alias("row")).groupBy("id", "row").agg(F.count("*").alias("times"))
 
 
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(id, event, before, after) of what changed."""
-    a, b = before.select("id", F.col("row").alias("before")), after.select("id", F.col("row").alias("after"))
-    met = a.join(b, "id", "full_outer")
-    event = F.when(F.col("before").isNull(), "Added").when(F.col("after").isNull(), "Removed").when(F.col("before") != F.col("after"), "Updated")
-    return met.select("id", event.alias("event"), "before", "after").filter("event IS NOT NULL")
+    """(id, event, before, after, times) of what changed; a row that is there more or less often is Added or Removed."""
+
+    def side(df, name, n):
+        return df.select("id", F.col("row").alias(name), (F.col("times") if "times" in df.columns else F.lit(1).cast("long")).alias(n))
+
+    met = side(before, "before", "m").join(side(after, "after", "n"), "id", "full_outer").withColumn("more", F.coalesce("n", F.lit(0)) - F.coalesce("m", F.lit(0)))
+    changed = F.col("before").isNotNull() & F.col("after").isNotNull() & (F.col("before") != F.col("after"))
+    event = F.when(changed, "Updated").when(F.col("more") > 0, "Added").when(F.col("more") < 0, "Removed")
+    return met.select("id", event.alias("event"), "before", "after", F.when(changed, F.col("n")).otherwise(F.abs("more")).alias("times")).filter("event IS NOT NULL")
 
 
 @dataclass
@@ -86,7 +105,7 @@ class Subscription:
                 self.keys.add(s.args[0])
             self.hops |= s.name not in ("V", "hasLabel", "has", "hasNot")
         if self.include_initial:
-            self.sink(self.last.select("id", F.lit("Added").alias("event"), F.lit(None).cast("string").alias("before"), F.col("row").alias("after")), -1)
+            self.sink(self.last.select("id", F.lit("Added").alias("event"), F.lit(None).cast("string").alias("before"), F.col("row").alias("after"), "times"), -1)
 
     def concerns(self, batch: DataFrame) -> bool:
         """Whether a change can touch the result: of a query without hops, label additions and vertex changes only."""
