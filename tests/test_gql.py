@@ -3,12 +3,12 @@
 import pytest
 
 from tests.test_traversal import EDGES, VERTICES
+from weftgraph.functions.stemming import stem
 from weftgraph.model import PropertyGraph
 from weftgraph.operators import algorithms, mutation, textsearch
 from weftgraph.plans import schema
 from weftgraph.plans.gql_parser import GqlError
 from weftgraph.plans.traversal import P
-from weftgraph.sources import graphson
 from weftgraph.streaming import subscribe as live
 
 
@@ -21,58 +21,35 @@ def rows(df):
     return sorted([tuple(r) for r in df.collect()], key=str)
 
 
+# Clauses over tables are held to SQL in test_entry; these are cases of small graphs, with rows derived by hand.
 # fmt: off
 CASES = [
-    ("ret",lambda G, q, spark: q("MATCH (p:person) WHERE p.age > 26 RETURN p.name AS n"),[('Alice',),('Charlie',),('Diana',)]),
-    ("hop",lambda G, q, spark: q("MATCH (a:person)-[k:knows]->(b:person) WHERE k.since >= 2020 RETURN a.name AS a, b.name AS b"),[('Alice','Bob'),('Bob','Charlie')]),
-    ("in",lambda G, q, spark: q("MATCH (a:person)<-[:knows]-(b) RETURN a.name AS a, b.name AS b"),[('Alice','Charlie'),('Bob','Alice'),('Charlie','Bob')]),
-    ("both",lambda G, q, spark: q("MATCH (a:person {name:'Alice'})-[:knows]-(b) RETURN b.name AS b"),[('Bob',),('Charlie',)]),
-    ("multi",lambda G, q, spark: q("MATCH (a:person)-[:knows]->(b), (b)-[:created]->(s) RETURN a.name AS a, s.name AS s"),[('Alice','Redis'),('Charlie','GraphDB')]),
-    ("cart",lambda G, q, spark: q("MATCH (a:person), (s:software) RETURN count(*) AS n"),[(8,)]),
-    ("var",lambda G, q, spark: q("MATCH (a:person {name:'Alice'})-[:knows*1..2]->(b) RETURN a.name AS a, b.name AS b"),[('Alice','Bob'),('Alice','Charlie')]),
-    ("var0",lambda G, q, spark: q("MATCH (a:person {name:'Alice'})-[:knows*0..1]->(b) RETURN a.name AS x, b.name AS b"),[('Alice','Alice'),('Alice','Bob')]),
-    ("optional",lambda G, q, spark: q("MATCH (a:person) OPTIONAL MATCH (a)-[:created]->(s) RETURN a.name AS a, s.name AS s"),[('Alice','GraphDB'),('Bob','Redis'),('Charlie',None),('Diana',None)]),
-    ("agg",lambda G, q, spark: q("MATCH (p:person) RETURN p.city AS c, count(*) AS n, sum(p.age) AS s, avg(p.age) AS m, collect(p.name) AS l"),[('LA',1,28,28.0,['Diana']),('NYC',2,65,32.5,['Alice','Charlie']),('SF',1,25,25.0,['Bob'])]),
-    ("having",lambda G, q, spark: q("MATCH (p:person) RETURN p.city AS c, count(*) AS n GROUP BY p.city HAVING count(*) > 1"),[('NYC',2)]),
-    ("order",lambda G, q, spark: [tuple(r) for r in G.gql("MATCH (p:person) RETURN p.name AS n ORDER BY p.age DESC SKIP 1 LIMIT 2").collect()],[('Alice',),('Diana',)]),
-    ("orderfn",lambda G, q, spark: [tuple(r) for r in G.gql("MATCH (p:person) RETURN p.name AS n ORDER BY size(p.name), p.name LIMIT 2").collect()],[('Bob',),('Alice',)]),
-    ("distinct",lambda G, q, spark: q("MATCH (p:person) RETURN DISTINCT p.city AS c"),[('LA',),('NYC',),('SF',)]),
-    ("union",lambda G, q, spark: q("MATCH (p:person) RETURN p.name AS n UNION MATCH (s:software) RETURN s.name AS n"),[('Alice',),('Bob',),('Charlie',),('Diana',),('GraphDB',),('Redis',)]),
-    ("exists",lambda G, q, spark: q("MATCH (p:person) WHERE EXISTS { (p)-[:created]->() } RETURN p.name AS n"),[('Alice',),('Bob',)]),
-    ("notexists",lambda G, q, spark: q("MATCH (p:person) WHERE NOT EXISTS { (p)-[:created]->(s) WHERE s.version > 3 } RETURN p.name AS n"),[('Alice',),('Charlie',),('Diana',)]),
-    ("with",lambda G, q, spark: q("MATCH (p:person) WITH p.city AS c, count(*) AS n WHERE n > 1 RETURN c, n"),[('NYC',2)]),
-    ("withnode",lambda G, q, spark: q("MATCH (p:person) WITH p ORDER BY p.age LIMIT 2 MATCH (p)-[:created]->(s) RETURN p.name AS n, s.name AS s"),[('Bob','Redis')]),
+    ("both ways", lambda G, q, spark: q("MATCH (m:mill {name: 'Cobham'})-[:feeds]-(x) RETURN x.name AS x"), [("Aldwark",), ("Dorney",)]),
+    ("joined patterns", lambda G, q, spark: q("MATCH (a:mill)-[:feeds]->(b), (b)-[:grinds]->(g) RETURN a.name AS a, g.name AS g"), [("Aldwark", "barley"), ("Bexley", "barley"), ("Bexley", "oats"), ("Cobham", "barley"), ("Cobham", "oats")]),
+    ("product", lambda G, q, spark: q("MATCH (m:mill), (g:grain) RETURN count(*) AS n"), [(12,)]),
+    ("no hop at all", lambda G, q, spark: q("MATCH (m:mill {name: 'Bexley'})-[:feeds*0..1]->(x) RETURN m.name AS m, x.name AS x"), [("Bexley", "Bexley"), ("Bexley", "Dorney")]),
+    ("optional", lambda G, q, spark: q("MATCH (m:mill) OPTIONAL MATCH (m)-[:stores]->(g) RETURN m.name AS m, g.name AS g"), [("Aldwark", None), ("Bexley", None), ("Cobham", "rye"), ("Dorney", None)]),
+    ("implicit groups", lambda G, q, spark: q("MATCH (m:mill) RETURN m.river AS r, count(*) AS n, max(m.built) AS b, collect(m.name) AS l"), [("Cray", 2, 1812, ["Bexley", "Dorney"]), ("Mole", 1, 1755, ["Cobham"]), ("Ure", 1, 1790, ["Aldwark"])]),
+    ("a limit within", lambda G, q, spark: q("MATCH (m:mill) WITH m ORDER BY m.built DESC LIMIT 2 MATCH (m)-[:grinds]->(g) RETURN m.name AS m, g.name AS g"), [("Bexley", "barley"), ("Dorney", "barley"), ("Dorney", "oats")]),
+    ("order of an expression", lambda G, q, spark: [r.n for r in G.gql("MATCH (g:grain) RETURN g.name AS n ORDER BY size(g.name), g.name").collect()], ["rye", "oats", "barley"]),
+    ("procedure", lambda G, q, spark: q("MATCH (a:mill {name: 'Aldwark'}), (g:grain {name: 'rye'}) CALL lib.shortestPath(id(a), id(g)) YIELD path, distance RETURN path, distance"), [([10, 12, 22], 2.0)]),
+    ("path", lambda G, q, spark: q("WITH PATH AS p MATCH (a:mill)-[:feeds]->(b)-[:stores]->(g) RETURN path() AS p"), [([10, 12, 22],)]),
+    ("types", lambda G, q, spark: q("MATCH (a)-[r]->(g:grain) RETURN labels(g) AS l, type(r) AS t, id(a) AS i"), [(["grain"], "grinds", 11), (["grain"], "grinds", 13), (["grain"], "grinds", 13), (["grain"], "stores", 12)]),
     ("unwind",lambda G, q, spark: q("UNWIND [1,2,3] AS x RETURN x, x*2 AS y"),[(1,2),(2,4),(3,6)]),
-    ("let",lambda G, q, spark: q("MATCH (p:person) LET t = sum(p.age) RETURN p.name AS n, t"),[('Alice',118),('Bob',118),('Charlie',118),('Diana',118)]),
-    ("call",lambda G, q, spark: q("MATCH (p:person) CALL { WITH p MATCH (p)-[:knows]->(f) RETURN count(*) AS n } RETURN p.name AS p, n"),[('Alice',1),('Bob',1),('Charlie',1),('Diana',0)]),
-    ("callun",lambda G, q, spark: q("MATCH (s:software) CALL { MATCH (p:person) RETURN max(p.age) AS m } RETURN s.name AS s, m"),[('GraphDB',35),('Redis',35)]),
-    ("param",lambda G, q, spark: q("MATCH (p:person) WHERE p.age >= $a RETURN p.name AS n",a=30),[('Alice',),('Charlie',)]),
     ("fns",lambda G, q, spark: q("UNWIND [1] AS x RETURN toUpper('ab') AS a, substring('hello',1,3) AS b, 7/2 AS c, -7/2 AS d, 7 % 3 AS e, 2^10 AS f, 2^-1 AS g, 1.5+1 AS h, 'a' || 1 AS i, toInteger('12') AS j, round(2.5) AS k, sign(-3) AS l, 1/0 AS m, coalesce(null, 5) AS n, size('é') AS o, toString(1.0) AS p"),[('AB','ell',3,-3,1,1024,None,2.5,'a1',12,3.0,-1,None,5,2,'1')]),
     ("lists",lambda G, q, spark: q("UNWIND [1] AS z RETURN [x IN [1,2,3] WHERE x > 1 | x*10] AS a, reduce(s=0, x IN [1,2,3] | s+x) AS b, all(x IN [1,2] WHERE x > 0) AS c, single(x IN [1,2] WHERE x > 1) AS d, [1,2,3][-1] AS e, [1,2,3,4][1..3] AS f, 2 IN [1,2] AS g"),[([20,30],6,True,True,3,[2,3],True)]),
-    ("case",lambda G, q, spark: q("MATCH (p:person) RETURN p.name AS n, CASE WHEN p.age > 29 THEN 'old' ELSE 'young' END AS a"),[('Alice','old'),('Bob','young'),('Charlie','old'),('Diana','young')]),
-    ("patlist",lambda G, q, spark: q("MATCH (p:person) RETURN p.name AS n, [(p)-[:knows]->(f) | f.name] AS l"),[('Alice',['Bob']),('Bob',['Charlie']),('Charlie',['Alice']),('Diana',[])]),
-    ("proc",lambda G, q, spark: q("CALL lib.bfs(0) YIELD node, depth RETURN node, depth"),[(0,0),(1,1),(2,2),(4,1),(5,2)]),
-    ("proc2",lambda G, q, spark: q("MATCH (a:person {name:'Alice'}), (b:person {name:'Charlie'}) CALL lib.shortestPath(id(a), id(b)) YIELD path, distance RETURN path, distance"),[([0,1,2],2.0)]),
-    ("path",lambda G, q, spark: q("WITH PATH AS p MATCH (a:person {name:'Alice'})-[:knows]->(b)-[:knows]->(c) RETURN path() AS p"),[([0,1,2],)]),
-    ("labels",lambda G, q, spark: q("MATCH (a)-[r]->(b:software) RETURN labels(b) AS l, type(r) AS t, id(a) AS i"),[(['software'],'created',0),(['software'],'created',1),(['software'],'uses',2)]),
-    ("neq",lambda G, q, spark: q("MATCH (a:person)-[:knows]->(b) WHERE a.city <> b.city RETURN a.name AS n"),[('Alice',),('Bob',)]),
-    ("strict",lambda G, q, spark: q("MATCH (a:person) WHERE a.age = 30.0 RETURN a.name AS n"),[]),
-    ("in2",lambda G, q, spark: q("MATCH (a:person) WHERE a.city IN ['LA','SF'] AND a.name STARTS WITH 'B' RETURN a.name AS n"),[('Bob',)]),
-    ("create",lambda G, q, spark: rows(G.gql("MATCH (a:person {name:'Alice'}) CREATE (a)-[:likes {w: 2}]->(b:pet {name:'Rex'})")[0].gql("MATCH (a)-[l:likes]->(p:pet) RETURN a.name AS a, l.w AS w, p.name AS p")),[('Alice',2,'Rex')]),
-    ("set",lambda G, q, spark: rows(G.gql("MATCH (a:person) WHERE a.age > 29 SET a.age = a.age + 1, a.old = true")[0].gql("MATCH (a:person) WHERE a.old RETURN a.name AS a, a.age AS g")),[('Alice',31),('Charlie',36)]),
-    ("removek",lambda G, q, spark: G.gql("MATCH (a:person {name:'Bob'}) REMOVE a.city")[0].traversal().V().hasNot('city').hasLabel('person').values('name').to_list(),['Bob']),
-    ("detach",lambda G, q, spark: (lambda r: (r[1]['vertices_removed'],r[1]['edges_removed'],r[0].view('v').count()))(G.gql("MATCH (a:person {name:'Bob'}) DETACH DELETE a")),(1,3,5)),
-    ("merge",lambda G, q, spark: rows(G.gql("MERGE (p:person {name:'Zoe'}) ON CREATE SET p.age = 1 ON MATCH SET p.age = 2")[0].gql("MATCH (p:person {name:'Zoe'}) RETURN p.age AS a")),[(1,)]),
-    ("merge2",lambda G, q, spark: rows(G.gql("MERGE (p:person {name:'Bob'}) ON CREATE SET p.age = 1 ON MATCH SET p.age = 2")[0].gql("MATCH (p:person {name:'Bob'}) RETURN p.age AS a")),[(2,)]),
-    ("foreach",lambda G, q, spark: G.gql("MATCH (p:person {name:'Bob'}) FOREACH (x IN [1,2] | CREATE (:tag {n: x}))")[1]['vertices_added'],2),
-    ("text",lambda G, q, spark: sorted(G.query("g.V().hasLabel('person').has('age', P.gt(28)).values('name').toList()")),['Alice','Charlie']),
-    ("text2",lambda G, q, spark: G.query("g.V(0).repeat(__.out('knows')).times(2).values('name').next()"),'Charlie'),
-    ("text3",lambda G, q, spark: sorted(G.query("g.V().where(__.out('created').has('version', gt(3.0))).values('name').toList()")),['Bob']),
-    ("addV",lambda G, q, spark: G.query("g.addV('person').property('name','Eve').property('age',3)")[1]['vertices_added'],1),
-    ("addE",lambda G, q, spark: G.query("g.V(3).addE('knows').to(__.V(0)).property('since',2024)")[0].traversal().V(3).out('knows').values('name').to_list(),['Alice']),
-    ("graphson",lambda G, q, spark: graphson.loads(spark,graphson.dumps(G)).gql("MATCH (a:person)-[k:knows]->(b) RETURN count(*) AS n, sum(k.since) AS s").collect()[0].asDict(),{'n':3,'s':6060}),
-    ("search",lambda G, q, spark: [r[0] for r in textsearch.hits(textsearch.create_index(G,'v','name'),'v','name','alice',5).collect()],[0]),
-    ("ddl",lambda G, q, spark: len(G.ddl("CREATE NODE TYPE person (name STRING NOT NULL, age INT DEFAULT 7)").schema.nodes),1),
+    ("create", lambda G, q, spark: rows(G.gql("MATCH (m:mill {name: 'Dorney'}) CREATE (m)-[:owned_by {since: 1901}]->(o:owner {name: 'Pym'})")[0].gql("MATCH (m)-[e:owned_by]->(o:owner) RETURN m.name AS m, e.since AS s, o.name AS o")), [("Dorney", 1901, "Pym")]),
+    ("set", lambda G, q, spark: rows(G.gql("MATCH (m:mill) WHERE m.built > 1800 SET m.built = m.built + 1, m.late = true")[0].gql("MATCH (m:mill) WHERE m.late RETURN m.name AS m, m.built AS b")), [("Bexley", 1813), ("Dorney", 1804)]),
+    ("set by rows", lambda G, q, spark: rows(G.gql("UNWIND [3, 8, 1] AS v MATCH (g:grain) SET g.rank = v")[0].gql("MATCH (g:grain) RETURN DISTINCT g.rank AS r")), [(1,)]),
+    ("remove", lambda G, q, spark: G.gql("MATCH (m:mill {name: 'Cobham'}) REMOVE m.river")[0].traversal().V().hasLabel("mill").hasNot("river").values("name").to_list(), ["Cobham"]),
+    ("detach", lambda G, q, spark: (lambda r: (r[1]["vertices_removed"], r[1]["edges_removed"], r[0].view("v").count()))(G.gql("MATCH (m:mill {name: 'Dorney'}) DETACH DELETE m")), (1, 4, 6)),
+    ("merge makes", lambda G, q, spark: rows(G.gql("MERGE (m:mill {name: 'Esher'}) ON CREATE SET m.built = 1 ON MATCH SET m.built = 2")[0].gql("MATCH (m:mill {name: 'Esher'}) RETURN m.built AS b")), [(1,)]),
+    ("merge finds", lambda G, q, spark: rows(G.gql("MERGE (m:mill {name: 'Bexley'}) ON CREATE SET m.built = 1 ON MATCH SET m.built = 2")[0].gql("MATCH (m:mill {name: 'Bexley'}) RETURN m.built AS b")), [(2,)]),
+    ("foreach", lambda G, q, spark: G.gql("MATCH (g:grain {name: 'oats'}) FOREACH (x IN [4, 5, 6] | CREATE (:sack {kilos: x}))")[1]["vertices_added"], 3),
+    ("text", lambda G, q, spark: G.query("g.V(10).repeat(__.out('feeds')).times(2).dedup().values('name').next()"), "Dorney"),
+    ("text with a test", lambda G, q, spark: sorted(G.query("g.V().where(__.out('grinds').has('price', lt(1.0))).values('name').toList()")), ["Dorney"]),
+    ("addE in text", lambda G, q, spark: G.query("g.V(13).addE('feeds').to(__.V(10)).property('metres', 7)")[0].traversal().V(13).out("feeds").values("name").to_list(), ["Aldwark"]),
+    ("search", lambda G, q, spark: [r[0] for r in textsearch.hits(textsearch.create_index(G, "v", "name"), "v", "name", "rye", 5).collect()], [22]),
 ]
 # fmt: on
 
@@ -90,21 +67,26 @@ def test_errors(G, text):  # noqa: N803
 
 def test_delete_refuses(G):  # noqa: N803
     with pytest.raises(mutation.MutationError):
-        G.gql("MATCH (a:person {name: 'Alice'}) DELETE a")
+        G.gql("MATCH (m:mill {name: 'Aldwark'}) DELETE m")
+
+
+def test_set_refuses_what_it_cannot_order(G):  # noqa: N803
+    with pytest.raises(mutation.MutationError):
+        G.gql("UNWIND [1, 2] AS v MATCH (g:grain) SET g.price = g.price + v")
 
 
 def test_schema(G):  # noqa: N803
-    g = G.ddl("CREATE NODE TYPE person (name STRING NOT NULL, age INT, rank INT DEFAULT 7)").ddl("CREATE EDGE TYPE knows (since INT) FROM person TO person").ddl("SET SCHEMA VALIDATION strict")
-    after, _ = g.gql("CREATE (:person {name: 'Eve'})")
-    assert rows(after.gql("MATCH (p:person {name: 'Eve'}) RETURN p.rank AS r")) == [(7,)]
+    g = G.ddl("CREATE NODE TYPE mill (name STRING NOT NULL, built INT, wheels INT DEFAULT 2, river STRING)").ddl("CREATE EDGE TYPE feeds (metres INT) FROM mill TO mill").ddl("SET SCHEMA VALIDATION strict")
+    after, _ = g.gql("CREATE (:mill {name: 'Esher'})")
+    assert rows(after.gql("MATCH (m:mill {name: 'Esher'}) RETURN m.wheels AS w")) == [(2,)]
     with pytest.raises(schema.SchemaError):
-        g.gql("CREATE (:person {age: 3})")
+        g.gql("CREATE (:mill {built: 1700})")
     with pytest.raises(schema.SchemaError):
-        g.gql("MATCH (p:person {name: 'Bob'}), (s:software {name: 'Redis'}) CREATE (p)-[:knows {since: 1}]->(s)")
-    assert g.ddl("ALTER NODE TYPE person DROP age").schema.nodes["person"].properties.keys() == {"name", "rank"}
-    assert schema.infer(G).nodes["person"].properties["age"].type == "INT"
+        g.gql("MATCH (m:mill {name: 'Bexley'}), (g:grain {name: 'rye'}) CREATE (m)-[:feeds {metres: 1}]->(g)")
+    assert g.ddl("ALTER NODE TYPE mill DROP built").schema.nodes["mill"].properties.keys() == {"name", "wheels", "river"}
+    assert schema.infer(G).nodes["mill"].properties["built"].type == "INT"
     with pytest.raises(schema.SchemaError):
-        G.ddl("CREATE UNIQUE INDEX c ON person(city)")
+        G.ddl("CREATE UNIQUE INDEX c ON mill(river)")
 
 
 def test_text_queries(spark):
@@ -138,16 +120,16 @@ def test_algorithm_library(spark):
 def test_live_query(spark, G, tmp_path):  # noqa: N803
     schema_ = live.CHANGE_SCHEMA
     batches = [
-        [(1, "vertex_added", 10, "person", None, None, None, None), (2, "vertex_property", 10, "person", None, None, "age", "40"), (3, "vertex_property", 1, "person", None, None, "age", "50")],
-        [(4, "vertex_removed", 0, "person", None, None, None, None), (5, "edge_added", 90, "knows", 1, 2, None, None)],
-        [(6, "vertex_property", 1, "person", None, None, "age", "60")],
+        [(1, "vertex_added", 30, "mill", None, None, None, None), (2, "vertex_property", 30, "mill", None, None, "built", "1850"), (3, "vertex_property", 12, "mill", None, None, "built", "1899")],
+        [(4, "vertex_removed", 11, "mill", None, None, None, None), (5, "edge_added", 190, "feeds", 12, 13, None, None)],
+        [(6, "vertex_property", 12, "mill", None, None, "built", "1901")],
     ]
-    t = G.traversal().V().hasLabel("person").has("age", P.gt(29))
+    t = G.traversal().V().hasLabel("mill").has("built", P.gt(1800))
     got = []
     sub = live.subscribe(t, spark.createDataFrame([], schema_), lambda df, n: got.append(sorted((r.id, r.event) for r in df.collect())), include_initial=True)
     for n, b in enumerate(batches):
         sub.on_batch(spark.createDataFrame(b, schema_), n)
-    assert got == [[(0, "Added"), (2, "Added")], [(1, "Added"), (10, "Added")], [(0, "Removed")], [(1, "Updated")]]
+    assert got == [[(11, "Added"), (13, "Added")], [(12, "Added"), (30, "Added")], [(11, "Removed")], [(12, "Updated")]]
     source = f"{tmp_path}/changes"
     for b in batches:
         spark.createDataFrame(b, schema_).coalesce(1).write.mode("append").parquet(source)
@@ -155,5 +137,39 @@ def test_live_query(spark, G, tmp_path):  # noqa: N803
     stream = spark.readStream.schema(schema_).option("maxFilesPerTrigger", 10).parquet(source)
     again = live.subscribe(t, stream, lambda df, n: seen.extend((r.id, r.event) for r in df.collect()), available_now=True)
     again.query.awaitTermination(120)
-    assert sorted(seen) == [(0, "Removed"), (1, "Added"), (10, "Added")]
+    assert sorted(seen) == [(11, "Removed"), (12, "Added"), (30, "Added")]
     again.cancel()
+
+
+def test_changes_in_their_order(spark, G):  # noqa: N803
+    ops = [("vertex_removed", 12, None, None), ("vertex_added", 12, None, None), ("edge_added", 200, 12, 13), ("edge_added", 201, 10, 13), ("vertex_removed", 13, None, None), ("vertex_added", 13, None, None), ("edge_added", 202, 10, 13), ("vertex_added", 40, None, None), ("vertex_removed", 40, None, None)]
+    batch = spark.createDataFrame([(n, op, i, "mill" if op[0] == "v" else "feeds", a, b, None, None) for n, (op, i, a, b) in enumerate(ops)], live.CHANGE_SCHEMA)
+    after = live.apply_changes(G, batch)
+    assert sorted(r.id for r in after.view("v").select("id").collect()) == [10, 11, 12, 13, 20, 21, 22]
+    assert sorted(r.id for r in after.view("e").select("id").collect()) == [100, 104, 202]  # edges went with their ends
+    assert after.traversal().V(12).values("river").to_list() == []
+
+
+def test_values_that_are_there_twice(spark, G):  # noqa: N803
+    got = []
+    change = spark.createDataFrame([(1, "vertex_property", 10, "mill", None, None, "river", "Cray")], live.CHANGE_SCHEMA)
+    live.subscribe(G.traversal().V().hasLabel("mill").values("river"), change, lambda df, n: got.extend((r.event, r.before or r.after, r.times) for r in df.collect()))
+    assert sorted(x[0] for x in got) == ["Added", "Removed"] and {t for *_, t in got} == {1}
+
+
+def test_stored_index(spark, tmp_path):
+    g = PropertyGraph.from_rows(spark, [dict(id=i, label="d", body=t) for i, t in enumerate(["red mill", "green mills", "milling of oats", None])], [])
+    g = textsearch.store_index(textsearch.create_index(g, "v", "body"), "v", "body", f"file://{tmp_path}/i")
+    ids = lambda x, q: sorted(r.id for r in textsearch.hits(x, "v", "body", q, 10).collect())
+    assert ids(g, "mill") == [0, 1, 2] and ids(g, textsearch.TextQ.phrase("red mill")) == [0]
+    later = textsearch.upsert(g, "v", "body", spark.createDataFrame([(1, "rye"), (3, "a mill")], "id long, text string"))
+    later = textsearch.delete(later, "v", "body", spark.createDataFrame([(0,)], "id long"))
+    assert ids(later, "mill") == [2, 3] and ids(later, "rye") == [1] and ids(g, "mill") == [0, 1, 2]  # the old index is a snapshot
+    whole = textsearch.merge(later, "v", "body")
+    assert ids(whole, "mill") == [2, 3] and len(whole.text["v", "body"].segments) == 1
+    assert ids(textsearch.open_index(g, "v", "body", f"file://{tmp_path}/i"), "mill") == [2, 3]
+
+
+def test_stemmer():
+    pairs = "consigned consign consistency consist consolation consol conspicuously conspicu knightly knight knotty knotti hopping hop hoping hope agreed agre relational relat rationalize ration dying die happily happili".split()
+    assert [stem(w) for w in pairs[::2]] == pairs[1::2]

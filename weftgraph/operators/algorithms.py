@@ -276,9 +276,10 @@ def step_result(s, step):
         depth = step.args[1] if name == "iddfs" and len(step.args) > 1 else options.get("maxDepth")
         found = shortest_paths(s.graph, sources, target, labels, direction, depth)
         df, vtype = found.select("source", F.col("path").alias("_val"), F.lit(0).alias("_rank")), longs
+    ranked = s.need_order or name in ("kShortestPaths", "dfs")  # their results have an order of their own
     joined = s.df.select(*(f"`{c}`" for c in s.carried()), "_id").join(df, F.col("_id") == F.col("source")).drop("_id", "source")
     names = vtype.names if isinstance(vtype, T.StructType) else None
-    return replace(s, df=joined, kind="x", vtype=vtype, labels=None, loaded=False, names=names, order=[*s.order, ("_rank", False)] if s.need_order else s.order)
+    return replace(s, df=joined, kind="x", vtype=vtype, labels=None, loaded=False, names=names, order=[*s.order, ("_rank", False)] if ranked else s.order, need_order=ranked)
 
 
 def _few(sources: DataFrame, most: int = 100):
