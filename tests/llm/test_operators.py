@@ -612,6 +612,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e").count() == 0
 
 
+def test_warc_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BYTES_PER_FILE", 2_000)
+    rows = [(i, f"http://x/{i % 9}", f"page {i % 7} " * (1 + i % 5) * 20) for i in range(40)] + [(3, "http://x/3", "page 3 " * 80)] * 2 + [(90, None, "long " * 3_000)]
+    warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/w").count()
+    files = [warc.gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz")]
+    found = [list(warc.parse_archive(raw)) for raw in files]
+    assert len(files) > 5 and all(len(raw) < 3_000 or len(f) == 2 for raw, f in zip(files, found, strict=True))
+    assert all(f[0][0]["warc-type"] == "warcinfo" and all(h["warc-type"] != "warcinfo" for h, _ in f[1:]) for f in found)
+    heads = [h for f in found for h, _ in f[1:]]
+    by_id = {h["warc-record-id"]: h for h in heads}
+    assert len(by_id) == len(heads) == len(rows) and len({h["warc-date"] for h in heads}) == 1 and heads[0]["warc-date"] > "2020"
+    for h in heads:
+        if h["warc-type"] == "revisit":
+            first = by_id[h["warc-refers-to"]]
+            assert first["warc-type"] == "response" and first["warc-payload-digest"] == h["warc-payload-digest"]
+            assert (first["warc-target-uri"], first["warc-date"], first["x-page-id"]) == (h["warc-refers-to-target-uri"], h["warc-refers-to-date"], h["x-refers-to-page"])
+
+
 def test_warc_small_payloads_stay(spark, tmp_path):
     rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")]
     out = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/s", least_bytes=4).collect()
