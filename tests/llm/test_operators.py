@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -669,6 +670,55 @@ def test_quality_divergence(spark):
     assert kept == set(range(60))
 
 
+def plain_histograms(text):
+    """Shares of character classes (upper, other letters, digits, stops, symbols, the rest) and of common words."""
+    ws = re.findall(r"[^\x20\x09-\x0D]+", text)
+    chars = [c for w in ws for c in w]
+    kind = lambda c: 0 if unicodedata.category(c) == "Lu" else 1 if unicodedata.category(c)[0] == "L" else 2 if c in "0123456789" else 3 if c in ".,;:'\"!?()-" else 4 if c in "#*$%&|<>" else 5
+    classes = Counter(map(kind, chars))
+    counts = Counter(w if w in divergence.COMMON_WORDS else None for w in ws)
+    return [classes[k] / max(1, len(chars)) for k in range(6)], [counts[w] / max(1, len(ws)) for w in [*divergence.COMMON_WORDS, None]]
+
+
+def plain_distance(p, q):
+    part = sum((a * math.log2(2 * a / (a + b)) if a else 0) + (b * math.log2(2 * b / (a + b)) if b else 0) for a, b in zip(p, q, strict=True))
+    return math.sqrt(max(0.0, part / 2))
+
+
+def test_quality_verdicts_step_by_step(spark):
+    rng = random.Random(12)
+    texts = {}
+    for lang, common in (("en", "the and of to in is that it was for"), ("de", "der die und das den von mit sich"), (None, "le la les des et un")):
+        for n in range(41):
+            symbols = rng.choice([0, 0, 0, 0.1, 0.4, 0.9])
+            word = lambda c=common, s=symbols: "".join(rng.choice("abcÉß,9") for _ in range(4)) if rng.random() < 0.6 else rng.choice(c.split()) if rng.random() > s else "$#%"
+            texts[lang, n] = " ".join(word() for _ in range(rng.choice([3, 55, 60, 200])))
+    rows = [(i, t, lang, "clash") for i, ((lang, _), t) in enumerate(texts.items())] + [(999, None, "en", "c"), (999, "", "xx", "c")]
+    got = {(r.doc_id, r.lang): r for r in divergence.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, kept0 string")).collect()}
+    shown = {i: plain_histograms(t or "") for i, t, _, _ in rows}
+    decided = Counter()
+    for lang in {lang for _, _, lang, _ in rows}:
+        known = [i for i, t, own, _ in rows if own == lang and plain_counts(t or "")[0] >= divergence.MIN_WORDS]
+        if known:
+            middle = [sorted(shown[i][0][k] for i in known)[-(-len(known) // 2) - 1] for k in range(6)]
+            reference = [x / sum(middle) for x in middle], [sum(shown[i][1][k] for i in known) / len(known) for k in range(len(divergence.COMMON_WORDS) + 1)]
+        for i, t, own, _ in rows:
+            if own != lang:
+                continue
+            counts, r = plain_counts(t or ""), got[i, lang]
+            failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
+            if known and (t or "").strip():
+                apart = [plain_distance(shown[i][k], reference[k]) for k in (0, 1)]
+                assert (r.class_distance, r.word_distance) == (pytest.approx(apart[0], abs=1e-9), pytest.approx(apart[1], abs=1e-9))
+                unsure = 1 / math.sqrt(max(1, counts[0]))
+                far = apart[0] > divergence.CLASS_LIMIT + divergence.CLASS_NOISE * unsure or apart[1] > divergence.WORD_LIMIT + divergence.WORD_NOISE * unsure
+                assert r.kept == (not failed and not (far and counts[0] >= divergence.MIN_WORDS))
+                decided[failed, r.kept] += 1
+            else:
+                assert not r.kept
+    assert decided[False, True] > 20 and decided[False, False] > 5
+
+
 def test_quality_is_native(spark, docs):
     plan = divergence.quality(docs.select("doc_id", "text", "lang"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

@@ -15,8 +15,10 @@ task packs in the same way. Each packing task holds ``open_bins`` bins and one b
 its memory doesn't grow with the input. Pieces arrive in blocks of ``LOOKAHEAD``, and a block's
 longest pieces are placed first. Sequence numbers are the task's number and a count.
 
-Defined cases: a null text is empty and has the end id alone; repeated rows are packed each; an
-empty table gives no pieces; null ids are kept.
+Defined cases: a null text is empty and has the end id alone; repeated rows are packed each; a very long
+text is cut after it has been encoded whole, in memory for one text; of equal lengths the one that comes
+first is placed first, and of equal bins the one opened last is taken; an empty table gives no pieces; null
+ids are kept; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +36,9 @@ from weftgraph.llm.runtime import only, slices, text_of
 
 #: Code points that are encoded at once; longer texts go through the tree of ``bpe_tree``. The ids are the same.
 LEAF = 16_384
-#: Rows to a packing task: enough that the bins left open at its end don't count.
-ROWS_PER_TASK = 400_000
+#: Pieces to a packing task: enough that the bins left open at its end don't count. Pieces are reckoned as the
+#: documents and one more for each ``PIECE_BYTES`` of text, before any is made.
+PIECES_PER_TASK, PIECE_BYTES = 400_000, 2_048
 #: Pieces that are taken together, longest first.
 LOOKAHEAD = 6_000
 
@@ -130,6 +133,7 @@ def pack(parts: DataFrame, tasks: int, capacity: int = 1024, open_bins: int = 40
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 4096) -> DataFrame:
-    """All documents as pieces of sequences; the task count follows the number of rows."""
-    tasks = max(1, -(-docs.count() // ROWS_PER_TASK))
+    """All documents as pieces of sequences; the task count follows the number of pieces."""
+    rows, size = only(docs, "doc_id", "text").agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_of())), F.lit(0))).first()
+    tasks = max(1, -(-(rows + size // PIECE_BYTES) // PIECES_PER_TASK))
     return pack(pieces(docs, vocabulary, capacity, end_id), tasks, capacity, open_bins)

@@ -14,8 +14,13 @@ lie in a three-word window found twice or more. Windows are compared by a 64-bit
 Everything happens within a row, but for the references of each language. Their number is checked before
 they are broadcast; more than ``MAX_LANGUAGES`` are joined by shuffle.
 
+A reference taken from the corpus itself is only as good as most of the language's documents: where more
+than half of them are junk of one kind, that kind is the usual one.
+
 Defined cases: a null text has no words and fails; a null language is a language of its own; repeated
-rows are judged each; an empty table gives no rows; further columns stay as they are.
+rows are judged each, and of equal lines all but the first count; a very long text is one row's arrays, in
+memory for one text; distances at a limit are kept; an empty table gives no rows; further columns stay as
+they are, whatever their names.
 """
 
 from __future__ import annotations

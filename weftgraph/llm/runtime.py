@@ -1,8 +1,9 @@
 """Shared plumbing of the training-data operators.
 
 Nothing here touches driver-local files: intermediate tables go to the folder that the
-session names in ``spark.checkpoint.dir`` (a temporary one is set only where it is unset,
-as in tests), because executors and the driver share no other place.
+session names in ``spark.checkpoint.dir``, because executors and the driver share no other place. A
+temporary one is set only where it is unset and the master is local, as in tests; on a cluster that is an
+error.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, as a URI."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="weft-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")

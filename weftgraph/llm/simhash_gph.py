@@ -22,7 +22,11 @@ Histograms are at most parts * 2^(64 / parts) numbers (1 MB), statistics 64 * 64
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and is linked like any
 other; fewer words than the shingle's width are one shingle; the smallest id names a class; null ids
-count only where a class has no other; an empty table gives no rows; other columns don't matter.
+count only where a class has no other; repeated rows share their class; a very long text is hashed whole,
+with its shingles in memory; an empty table gives no rows; other columns don't matter, whatever their names.
+A bucket that stays over ``bucket`` rows after two divisions is compared chunk by chunk, which costs the
+square of its distinct fingerprints in comparisons, spread over tasks of at most ``bucket`` rows: that takes
+more than 4,096 distinct fingerprints that agree in some 40 bits.
 """
 
 from __future__ import annotations

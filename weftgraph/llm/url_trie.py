@@ -12,7 +12,9 @@ to ``?``, ``#`` or the end. A null URL or one without ``://`` has both empty.
 
 "Longest" compares the host's labels first and then the path: of two rules that fit one URL, the one
 with more host labels wins, then the longer path; where both are equal the later entry of the list
-doesn't count. A URL that no rule fits gets the default verdict (allow) and a null rule.
+doesn't count. A URL that no rule fits gets the default verdict (allow) and a null rule. A very long URL
+is matched whole; repeated rows are judged each; an empty table gives no rows; further columns don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
