@@ -61,13 +61,16 @@ def _sources(graph, sources) -> DataFrame:
     return graph.view("v").filter(F.col("id").isin(*ids)).select(F.col("id").alias("source"))
 
 
-def bfs(graph, sources, max_depth: int | None = None, labels=None, direction: str = "out", target=None, paths: bool = False) -> DataFrame:
-    """(source, vertex, depth[, path]) for every vertex within ``max_depth``; each once for a source."""
+def bfs(graph, sources, max_depth: int | None = None, labels=None, direction: str = "out", target=None, paths: bool = False, prune=None) -> DataFrame:
+    """(source, vertex, depth[, path]) for every vertex within ``max_depth``; each once for a source.
+
+    ``prune`` is a test of (vertex, depth) columns: the search reaches vertices that pass it, but goes no further.
+    """
     steps = settle(Walks(direction, labels).steps(graph).select("a", "b"))  # views aren't built anew in each round
     now, _ = Rounds().settle(_sources(graph, sources).select("source", F.col("source").alias("vertex"), F.lit(0).cast("long").alias("depth"), *([F.array("source").alias("path")] if paths else [])))
     seen, rounds = now, Rounds()
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        ahead = now
+        ahead = now if prune is None else now.filter(~F.coalesce(prune(F.col("vertex"), F.col("depth")), F.lit(False)))
         if target is not None:
             found = seen.filter(F.col("vertex") == target).select("source").distinct()
             ahead = now.join(found, "source", "left_anti")
@@ -84,8 +87,12 @@ def bfs(graph, sources, max_depth: int | None = None, labels=None, direction: st
     return seen
 
 
-def dijkstra_all(graph, sources, weight: str, labels=None, direction: str = "out", on_missing: str = "skip", banned_vertices=(), banned_edges=()) -> DataFrame:
-    """(source, vertex, distance, path) of a cheapest path to every reachable vertex."""
+def dijkstra_all(graph, sources, weight: str, labels=None, direction: str = "out", on_missing: str = "skip", banned_vertices=(), banned_edges=(), target: int | None = None) -> DataFrame:
+    """(source, vertex, distance, path) of a cheapest path to every reachable vertex.
+
+    With a ``target``, paths that are no cheaper than the best one to it so far aren't followed; then only
+    the target's row is sure to be there and to be the cheapest.
+    """
     steps = Walks(direction, labels, weight, on_missing).steps(graph).groupBy("a", "b").agg(F.min("w").alias("w"))
     if banned_vertices:
         steps = steps.filter(~F.col("a").isin(*banned_vertices) & ~F.col("b").isin(*banned_vertices))
@@ -97,6 +104,9 @@ def dijkstra_all(graph, sources, weight: str, labels=None, direction: str = "out
     for _ in range(MAX_ROUNDS):
         tried = now.join(steps, F.col("vertex") == F.col("a")).groupBy("source", F.col("b").alias("vertex")).agg(F.min(F.struct((F.col("distance") + F.col("w")).alias("d"), F.concat("path", F.array("b")).alias("p"))).alias("t"))
         known = best.select(F.col("source").alias("s2"), F.col("vertex").alias("v2"), F.col("distance").alias("d2"))
+        if target is not None:
+            goal = F.broadcast(best.filter(F.col("vertex") == target).select(F.col("source").alias("s3"), F.col("distance").alias("d3")))  # a row for each source
+            tried = tried.join(goal, F.col("source") == F.col("s3"), "left").filter("d3 IS NULL OR t.d < d3").drop("s3", "d3")
         better = tried.join(known, (F.col("source") == F.col("s2")) & (F.col("vertex") == F.col("v2")), "left").filter("d2 IS NULL OR t.d < d2")
         now, some = rounds.settle(better.select("source", "vertex", F.col("t.d").alias("distance"), F.col("t.p").alias("path")))
         if not some:
@@ -263,7 +273,12 @@ def step_result(s, step):
         rows = [(src, (v, d), (n, v)) for (src,) in _few(sources) for n, (v, d) in enumerate(dfs(s.graph, src, options.get("maxDepth"), labels, direction))]
         df, vtype = s.graph.spark.createDataFrame(rows, "source long, _val struct<vertex:long,depth:long>, _rank struct<depth:long,vertex:long>"), pair
     elif name == "shortestPath" and weight:
-        found = dijkstra_all(s.graph, sources, weight, labels, direction).filter(F.col("vertex") == target)
+        guess = options.get("heuristic")
+        if guess is None:
+            found = dijkstra_all(s.graph, sources, weight, labels, direction, target=target).filter(F.col("vertex") == target)
+        else:
+            rows = [(src, target, float(f[0]), f[1]) for (src,) in _few(sources) for f in [astar(s.graph, src, target, weight, guess, labels, direction)] if f]
+            found = s.graph.spark.createDataFrame(rows, "source long, vertex long, distance double, path array<long>")
         vtype = T.StructType([T.StructField("path", longs), T.StructField("weight", T.DoubleType())])
         df = found.select("source", F.struct("path", F.col("distance").alias("weight")).alias("_val"), F.lit(0).alias("_rank"))
     elif name == "kShortestPaths":

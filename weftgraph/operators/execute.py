@@ -1203,6 +1203,7 @@ def repeat(s: State, step: Step) -> State:
 
 
 def store(s: State, step: Step) -> State:
+    """store() and aggregate() are one: whether a list fills early or late can't be seen before cap()."""
     s.effects[step.args[0]] = s
     return s
 

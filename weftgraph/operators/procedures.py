@@ -69,8 +69,11 @@ def run(graph, name: str, a: list) -> tuple[DataFrame, list]:
     short = name[0].lower() + name[1:]
     if short == "shortestPath":
         return algorithms.shortest_paths(graph, a[0], a[1]).select("path", "distance"), PATH
+    if short == "astar" and len(a) > 3:
+        found = algorithms.astar(graph, a[0], a[1], a[2], a[3])
+        return spark.createDataFrame([(found[1], float(found[0]))] if found else [], "path array<long>, distance double"), PATH
     if short in ("dijkstra", "astar"):
-        return algorithms.dijkstra_all(graph, a[0], a[2]).filter(F.col("vertex") == a[1]).select("path", "distance"), PATH
+        return algorithms.dijkstra_all(graph, a[0], a[2], target=a[1]).filter(F.col("vertex") == a[1]).select("path", "distance"), PATH
     if short == "kShortestPaths":
         found = algorithms.k_shortest_paths(graph, a[0], a[1], a[2], a[3] if len(a) > 3 else None)
         return spark.createDataFrame([(p, float(c), n) for n, (c, p) in enumerate(found)], "path array<long>, distance double, `index` long"), [*PATH, ("index", LONG)]

@@ -113,7 +113,10 @@ def problems(graph, schema: Schema) -> DataFrame:
 
 
 def enforce(graph) -> DataFrame | None:
-    """Problems in WARN mode; an error in STRICT and CLOSED; nothing in NONE."""
+    """Problems in WARN mode; an error in STRICT and CLOSED; nothing in NONE. Unique indexes hold in all modes."""
+    for spec in graph.indexes.values():
+        if spec.kind == "unique":
+            check_unique(graph, spec)
     if graph.schema is None or graph.schema.mode is Mode.NONE:
         return None
     found = problems(graph, graph.schema)
@@ -140,7 +143,8 @@ def infer(graph) -> Schema:
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """A layout hint and, if unique, a constraint; results never depend on it."""
+    """A layout of the stored graph (sorted by the key, so that equality and range filters read few files) and,
+    if unique, a constraint that every change is held to; results never depend on it."""
 
     name: str
     kind: str  # btree, unique, rtree
@@ -150,6 +154,8 @@ class IndexSpec:
 
 def check_unique(graph, spec: IndexSpec) -> None:
     view = graph.view("v", frozenset([spec.label]) if spec.label else None)
+    if spec.key not in view.columns:
+        return
     twice = view.filter(F.col(f"`{spec.key}`").isNotNull()).groupBy(f"`{spec.key}`").count().filter("count > 1").limit(1).collect()
     if twice:
         raise SchemaError(f"{spec.key} isn't unique: {twice[0][0]}")

@@ -184,6 +184,21 @@ def _indexes(g):
     return found.select(F.col("n_name").alias("name"), F.lit("one_key" in own.indexes and "by_region" not in own.indexes).alias("unique_kept"), F.lit(no).alias("refused"))
 
 
+@query("store_sorted_by_index", "SELECT c_custkey AS value FROM customer WHERE c_acctbal > 0 AND c_acctbal <= 1000")
+def _sorted(g):
+    """A stored graph whose customers are sorted by an indexed property."""
+    path = scratch(g, "sorted")
+    store.save(part_of(g, ("customer",), ()).ddl("CREATE INDEX by_balance ON :customer(c_acctbal)"), path)
+    return store.load(g.spark, path).traversal().v_by_property_range("customer", "c_acctbal", 0.0, 1000.0, False, True).values("c_custkey").df()
+
+
+@query("unique_index_holds", "SELECT true AS refused, count(*) AS n FROM nation")
+def _unique(g):
+    own = places(g).ddl("CREATE UNIQUE INDEX one_key ON :nation(n_nationkey)")
+    no = refused(lambda: own.gql("CREATE (n:nation {n_nationkey: 7})"))
+    return own.gql("MATCH (n:nation) RETURN count(*) AS n").select(F.lit(no).alias("refused"), "n")
+
+
 # -- algorithms --------------------------------------------------------------------------------
 _FAR = f"SELECT min(depth) AS n FROM ({_REACH}) WHERE vertex = 1000000000000 + (SELECT n_regionkey FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey WHERE l_partkey = 1 ORDER BY n_regionkey LIMIT 1)"
 
@@ -223,6 +238,9 @@ def bought(g):
 query("dijkstra_step", f"SELECT d AS weight FROM ({_BUY}) ORDER BY v DESC LIMIT 1")(lambda g: (lambda own: own.traversal().V(C + 7).shortestPath(bought(own)).by("w").df("weight"))(weighted(g)))
 query("astar_library", f"SELECT d AS cost FROM ({_BUY}) ORDER BY v DESC LIMIT 1")(lambda g: (lambda own: rows(g, [(float(algorithms.astar(own, C + 7, bought(own), "w", "o_totalprice")[0]),)], "cost double"))(weighted(g)))
 
+query("astar_step", f"SELECT d AS weight FROM ({_BUY}) ORDER BY v DESC LIMIT 1")(lambda g: (lambda own: own.traversal().V(C + 7).shortestPath(bought(own)).by("w").with_("heuristic", "o_totalprice").df("weight"))(weighted(g)))
+query("bfs_prune", f"SELECT vertex, depth FROM ({_REACH}) WHERE depth <= 2")(lambda g: algorithms.bfs(g, PA + 1, None, WAYS, prune=lambda vertex, depth: depth >= 2).select("vertex", "depth"))
+
 # -- procedures --------------------------------------------------------------------------------
 
 

@@ -2,8 +2,9 @@
 
 Changes are rows of ``CHANGE_SCHEMA``. Each micro-batch is applied to the graph as one set-based delta; the
 query runs again on the new version, and its result is compared with the last one by a full outer join
-on the element: rows come out as Added, Removed or Updated. The last result and the graph's tables are
-written to the shared folder after each batch, so plans don't grow with the stream. A batch whose
+on the element: rows come out as Added, Removed or Updated. Batches and results are written to the shared
+folder; the graph is its tables with the batches' deltas over them, and its tables are written anew after
+``COMPACT`` batches, so plans don't grow with the stream. A batch whose
 changes touch none of the query's labels and properties is passed over.
 """
 
@@ -19,6 +20,8 @@ from weftgraph.operators import mutation
 from weftgraph.runtime import settle
 
 CHANGE_SCHEMA = "seq long, op string, id long, label string, src long, dst long, key string, value string"
+#: Batches whose deltas are kept beside the tables.
+COMPACT = 8
 OPS = ("vertex_added", "vertex_removed", "vertex_property", "edge_added", "edge_removed", "edge_property")
 
 
@@ -92,6 +95,7 @@ class Subscription:
     last: DataFrame | None = None
     query: object = None
     skipped: int = 0
+    batches: int = 0
     keys: set = field(default_factory=set)
     labels: set = field(default_factory=set)
     hops: bool = False
@@ -118,7 +122,10 @@ class Subscription:
         if batch.isEmpty():
             return
         needed = self.concerns(batch)
-        self.graph = frozen(apply_changes(self.graph, batch))
+        self.graph = apply_changes(self.graph, batch)
+        self.batches += 1
+        if self.batches % COMPACT == 0:
+            self.graph = frozen(self.graph)
         if not needed:
             self.skipped += 1
             return
