@@ -449,7 +449,7 @@ def digest_of(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
-def first_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, width: int = 5, most: int = 11, parts: int = 6) -> DataFrame:
+def first_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, width: int = 5, most: int = 11, bucket: int = 1 << 15) -> DataFrame:
     """(key, __text, copies): the smallest key of each class of similar texts, the name of its text, and how often
     that row is there.
 
@@ -458,6 +458,7 @@ def first_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     shingles, which stay closer than five-word ones) within ``most`` bits; of a bucket's candidates its
     minimum spanning forest is checked, so a group of copies costs a link for each member and not for each
     pair. Texts of equal fingerprints are checked against one of them. Rows with equal texts are one text.
+    Partitions are fewer and wider for more fingerprints, so that a bucket has ``bucket`` / 2 on average at most.
     """
     docs = only(docs, key, text).select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     keyed = settle(with_fingerprints(docs).select("doc_id", digest_of().alias("__text"), "__fp"), "fingerprints")
@@ -465,7 +466,9 @@ def first_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     least_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n"))
     texts = settle(rows.groupBy("__text").agg(least_row.alias("f"), F.first("fp").alias("fp")).select("__text", F.col("f.doc_id").alias("least"), F.col("f.n").alias("copies"), "fp"), "texts")
     prints = settle(texts.groupBy("fp").agg(F.min("__text").alias("own")), "distinct")
-    pairs = links(prints, most, parts, trees=True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    n = prints.count()
+    parts = next((p for p in (6, 5, 4) if n >> (64 // p) <= bucket // 2), 4)
+    pairs = links(prints, most, parts, bucket, trees=True).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     named = pairs.join(prints.select(F.col("fp").alias("u"), F.col("own").alias("a")), "u").join(prints.select(F.col("fp").alias("v"), F.col("own").alias("b")), "v").select("a", "b")
     alike = texts.join(prints, "fp").filter("__text != own").select(F.col("__text").alias("a"), F.col("own").alias("b"))
     tried = settle(named.union(alike), "candidates")
