@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.stemming import stemmed
+from weftgraph.runtime import settle
 
 K1, B = 1.2, 0.75
 LONGEST = 255
@@ -45,8 +46,7 @@ class Analyzer:
             return _short(F.split(c, r"\s+"))
         if self.name == "ngram":
             low = F.lower(c)
-            sizes = range(self.least, self.most + 1)
-            grams = [F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i, n=n: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+            grams = [_grams(low, n) for n in range(self.least, self.most + 1)]
             return F.concat(*grams)
         words = _short(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))
         if self.name == "standard":
@@ -54,6 +54,12 @@ class Analyzer:
         return stemmed(F.filter(words, lambda w: ~w.isin(STOP_WORDS)))
 
 
+def _grams(low: Column, n: int) -> Column:
+    """All runs of n characters."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))
+    return F.when(F.length(low) >= n, runs).otherwise(F.array().cast("array<string>"))
+
+
 def _short(tokens: Column) -> Column:
     return F.filter(tokens, lambda w: (w != "") & (F.length(w) <= LONGEST))
 
@@ -172,14 +178,18 @@ def _postings_of(docs: DataFrame) -> DataFrame:
     return each.groupBy("id", "term", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")).select("id", "term", "tf", "len", "positions")
 
 
-def postings(graph, index: TextIndex, terms) -> DataFrame:
-    """Postings of the terms that pass a test of the column ``term``."""
+def postings(graph, index: TextIndex, terms) -> tuple[DataFrame, DataFrame]:
+    """Postings of the terms that pass a test of the column ``term``, and (id, len) of every indexed text.
+
+    Without a stored index every text is analysed once: what the search needs of it is settled, a narrow row each.
+    """
     if index.path:
-        return _live(graph.spark, index, "postings", terms(F.col("term")))
-    docs = _analysed(graph, index).withColumn("len", F.size("tokens").cast("long"))
+        return _live(graph.spark, index, "postings", terms(F.col("term"))), _live(graph.spark, index, "lengths")
     own = F.filter(F.transform("tokens", lambda w, i: F.struct(w.alias("term"), i.cast("int").alias("at"))), lambda x: terms(x["term"]))
-    each = docs.select("id", "len", F.explode(own).alias("x")).select("id", "len", "x.*")
-    return each.groupBy("id", "term", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")).select("id", "term", "tf", "len", "positions")
+    narrow = settle(_analysed(graph, index).select("id", F.size("tokens").cast("long").alias("len"), own.alias("own")))
+    each = narrow.select("id", "len", F.explode("own").alias("x")).select("id", "len", "x.*")
+    found = each.groupBy("id", "term", "len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"))
+    return found.select("id", "term", "tf", "len", "positions"), narrow.select("id", "len")
 
 
 def lengths(graph, index: TextIndex) -> DataFrame:
@@ -289,9 +299,9 @@ def leaf(graph, index: TextIndex, query: TextQ) -> DataFrame:
     if not wanted or wanted == [""]:
         return lengths(graph, index).select("id", F.lit(0.0).alias("score")).filter(F.lit(False))
     if query.op == "prefix":
-        return postings(graph, index, lambda w: w.startswith(wanted[0])).select("id").distinct().select("id", F.lit(1.0).alias("score"))
-    found = postings(graph, index, lambda w: w.isin(wanted))
-    stats = F.broadcast(lengths(graph, index).agg(F.count("*").alias("N"), F.avg("len").alias("mean")))  # one row
+        return postings(graph, index, lambda w: w.startswith(wanted[0]))[0].select("id").distinct().select("id", F.lit(1.0).alias("score"))
+    found, sizes = postings(graph, index, lambda w: w.isin(wanted))
+    stats = F.broadcast(sizes.agg(F.count("*").alias("N"), F.avg("len").alias("mean")))  # one row
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = df.crossJoin(stats).select("term", idf.alias("idf"), "mean")

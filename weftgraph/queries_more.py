@@ -192,6 +192,14 @@ def _sorted(g):
     return store.load(g.spark, path).traversal().v_by_property_range("customer", "c_acctbal", 0.0, 1000.0, False, True).values("c_custkey").df()
 
 
+@query("store_sorted_by_place", f"SELECT c_custkey FROM ({_PLACE}) WHERE lon BETWEEN -10 AND 40 AND lat BETWEEN 30 AND 60")
+def _placed(g):
+    """A stored graph whose customers are sorted along a curve over their indexed places."""
+    path = scratch(g, "placed")
+    store.save(part_of(with_places(g), ("customer",), ()).ddl("CREATE RTREE INDEX by_place ON :customer(place)"), path)
+    return store.load(g.spark, path).traversal().V().hasLabel("customer").has("place", P.geo_bbox(-10, 30, 40, 60)).df("c_custkey")
+
+
 @query("unique_index_holds", "SELECT true AS refused, count(*) AS n FROM nation")
 def _unique(g):
     own = places(g).ddl("CREATE UNIQUE INDEX one_key ON :nation(n_nationkey)")
@@ -329,6 +337,24 @@ _BOOL = f"SELECT doc_id FROM ({_DOCS}) WHERE (list_contains(t, 'idiot') OR list_
 query("text_boolean", _BOOL)(lambda g: textsearch.scores(indexed(g), indexed(g).text[("v", "text")], TextQ.and_(TextQ.or_(TextQ.match("idiot"), TextQ.match("trash")), TextQ.match("the"), TextQ.not_(TextQ.match("you")))).select((F.col("id") - 8 * STRIDE).alias("doc_id")))
 
 
+def matching(g, kind: str, key: str, label: str, analyzer, q):
+    own = textsearch.create_index(g, kind, key, label, analyzer)
+    return textsearch.scores(own, own.text[(kind, key)], q).agg(F.count("*").alias("n"))
+
+
+query("text_english_stems", f"SELECT count(*) AS n FROM ({_DOCS}) WHERE list_contains(t, 'idiot') OR list_contains(t, 'idiots')")(lambda g: matching(g, "v", "text", "document", textsearch.Analyzer("standard_english"), TextQ.match("Idiots and the")))
+query("text_raw", "SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'")(lambda g: matching(g, "v", "c_mktsegment", "customer", textsearch.Analyzer("raw"), TextQ.match("BUILDING")))
+query("text_ngrams", "SELECT count(*) AS n FROM part WHERE contains(lower(p_name), 'rin') AND contains(lower(p_name), 'ing')")(lambda g: matching(g, "v", "p_name", "part", textsearch.Analyzer("ngram", 3, 3), TextQ.match_all("Ring")))
+
+
+@query("text_refusals", "SELECT true AS negated_alone, true AS negated_or, true AS no_index, true AS two_prefixes")
+def _text_refusals(g):
+    own = indexed(g)
+    no = lambda q: refused(lambda: textsearch.hits(own, "v", "text", q, 3).collect())
+    facts = (no(TextQ.and_(TextQ.not_(TextQ.match("a")))), no(TextQ("or", TextQ.match("a"), TextQ.not_(TextQ.match("b")))), refused(lambda: textsearch.hits(own, "v", "lang", "a", 3)), no(TextQ.prefix("a b")))
+    return rows(g, [facts], "negated_alone boolean, negated_or boolean, no_index boolean, two_prefixes boolean")
+
+
 @query("text_upsert_delete", bm25("idiot there", docs=f"SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN ['idiot'] ELSE {_WORDS} END AS t FROM documents WHERE doc_id % 3 <> 2"))
 def _text_changes(g):
     """A third of the documents gets another text, a third goes; a merge and a reopening keep that."""
