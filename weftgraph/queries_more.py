@@ -120,6 +120,17 @@ def _terminals(g):
 
 query("explain_step", "SELECT '0 V() [source]' AS line UNION ALL SELECT '1 hasLabel(''nation'') [filter]' UNION ALL SELECT '2 out(''in_region'') [navigation]' UNION ALL SELECT '3 count() [reduce] barrier'")(lambda g: rows(g, [(x,) for x in g.traversal().V().hasLabel("nation").out("in_region").count().explain().split("\n")], "line string"))
 
+
+
+@query("map_host_functions", "SELECT reverse(n_name) AS value FROM nation WHERE length(n_name) = 8 UNION ALL SELECT upper(n_name) FROM nation WHERE length(n_name) = 8")
+def _host(g):
+    """Python functions as closures: Arrow batches of values in, values, lists or tests out."""
+    short = F.pandas_udf(lambda names: names.str.len() == 8, "boolean")
+    twice = F.pandas_udf(lambda names: names.map(lambda x: [x, x.upper()[::-1]]), "array<string>")
+    back = F.pandas_udf(lambda names: names.str[::-1], "string")
+    return g.traversal().V().hasLabel("nation").values("n_name").filter(short).flatMap(twice).map(back).df()
+
+
 # -- branches and side effects -------------------------------------------------------------------
 traversal("choose_by_option", "SELECT CASE n_regionkey WHEN 1 THEN 'one' ELSE n_name END AS value FROM nation", lambda g: g.V().hasLabel("nation").choose_by(__.values("n_regionkey")).option(1, __.constant("one")).option("none", __.values("n_name")))
 _UP = "SELECT {first} c_nationkey + 2000000000000 AS value FROM customer UNION ALL SELECT n_regionkey + 1000000000000 FROM customer JOIN nation ON c_nationkey = n_nationkey"
@@ -396,6 +407,26 @@ def _live(g):
     return out[0].groupBy("event").agg(F.count("*").alias("n"))
 
 
+@query("live_query_initial", "SELECT 'Added' AS event, n_name AS name FROM nation WHERE n_regionkey = 1")
+def _initial(g):
+    """The events before any change are the query's result."""
+    out = []
+    sub = subscribe(places(g).traversal().V().hasLabel("nation").has("n_regionkey", 1), rows(g, [], CHANGE_SCHEMA), lambda events, epoch: out.append(events), include_initial=True)
+    sub.cancel()
+    return out[0].select("event", F.get_json_object("after", "$.n_name").alias("name"))
+
+
+@query("live_query_passes_over", "SELECT 1::BIGINT AS skipped, 1::BIGINT AS told, count(*) AS n FROM region")
+def _passes(g):
+    """A batch that can't concern the query isn't evaluated, but is applied."""
+    told = []
+    sub = subscribe(places(g).traversal().V().hasLabel("nation"), rows(g, [], CHANGE_SCHEMA), lambda events, epoch: told.append(events))
+    sub.on_batch(rows(g, [(1, "vertex_added", 9 * STRIDE, "region", None, None, None, None), (2, "edge_added", 9 * STRIDE, "in_region", N + 1, 9 * STRIDE, None, None)], CHANGE_SCHEMA), 0)
+    sub.on_batch(rows(g, [(3, "vertex_removed", 9 * STRIDE, None, None, None, None, None), (4, "vertex_property", N + 1, None, None, None, "n_name", "x")], CHANGE_SCHEMA), 1)
+    n = sub.graph.traversal().V().hasLabel("region").count().next()
+    return rows(g, [(sub.skipped, len(told), n)], "skipped long, told long, n long")
+
+
 @query("change_order", "SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (3, 5) UNION ALL SELECT 'back'")
 def _order(g):
     """Removed, added again and named stays; added and removed doesn't; the later of two names counts."""
