@@ -138,12 +138,12 @@ traversal("repeat_emit_first", _UP.format(first="c_custkey + 3000000000000 AS va
 traversal("repeat_emit_if", "SELECT n_regionkey + 1000000000000 AS value FROM customer JOIN nation ON c_nationkey = n_nationkey", lambda g: g.V().hasLabel("customer").repeat(__.out("in_nation", "in_region")).times(2).emit(__.hasLabel("region")).id())
 
 
-@query("repeat_long_chain", "SELECT 120::BIGINT AS value")
+@query("repeat_long_chain", "SELECT 105::BIGINT AS value")
 def _chain(g):
-    """A chain of 121 vertices is walked to its end: repeat() has no limit of its own."""
-    own = g.spark.range(121)
-    chain = type(g)(g.spark, {"link": own.select("id", F.col("id").alias("n"))}, {"next": own.filter("id < 120").select("id", F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))})
-    return chain.traversal().V(0).repeat(__.out("next")).until(__.has("n", 120)).values("n").df()
+    """A chain of 106 vertices is walked to its end: repeat() has no limit of its own."""
+    own = g.spark.range(106)
+    chain = type(g)(g.spark, {"link": own.select("id", F.col("id").alias("n"))}, {"next": own.filter("id < 105").select("id", F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))})
+    return chain.traversal().V(0).repeat(__.out("next")).until(__.has("n", 105)).values("n").df()
 
 
 traversal("store_side_effect", "SELECT list(n_name ORDER BY n_nationkey) AS names FROM nation", lambda g: g.V().hasLabel("nation").values("n_name").store("x").cap("x"), "names")
