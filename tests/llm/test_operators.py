@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and odd tables."""
 
 import base64
+import copy
 import hashlib
 import itertools
 import math
@@ -362,6 +363,55 @@ def test_toxicity_sample_is_bounded_by_bytes(spark, monkeypatch):
     assert 0 < sum(map(len, seen)) <= 3_000 and len(seen) == 10
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    for name, value in (("SAMPLE", 4), ("NEGATIVES", 4), ("SHARD_BYTES", 150_000), ("PASSES", 12)):
+        monkeypatch.setattr(toxicity_cnn, name, value)
+    rng = random.Random(9)
+    texts = ["".join(f"{rng.choice(['calm', 'warm', 'mild', 'soft'])}{rng.randrange(30)} " for _ in range(30)) for _ in range(2_000)]
+    texts = [t + f"{'abcdefghij'[i % 20 // 2] * 3}venom" * (i % 2) for i, t in enumerate(texts)]  # ten toxic words, more than the start has texts
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[7]), (5_000, "unlabelled"), (5_001, None)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(2_000)] + [(7, 0), (5_000, None), (5_001, 0), (9_000, 1)]
+    learned, y = [*texts, texts[7], ""], [*(i % 2 for i in range(2_000)), 1, 0]
+    limits, settle = [], toxicity_cnn.Network.settle_limits
+    monkeypatch.setattr(toxicity_cnn.Network, "settle_limits", lambda self, *a: limits.append(a) or settle(self, *a))
+    net = toxicity_cnn.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    buckets = [set(toxicity_cnn.hashes(toxicity_cnn.words(t)).ravel().tolist()) for t in learned]
+    assert {b: n for b, n in enumerate(net.shared.tolist()) if n} == Counter(itertools.chain(*buckets))
+    z, language = net.raw(learned)
+    ((_, at, clean, toxic),) = limits
+    for want, counts in ((0, clean), (1, toxic)):
+        judged = np.repeat(at, counts) / toxicity_cnn.GRID
+        assert np.allclose(np.sort(judged), np.sort(z[np.array(y) == want]), atol=0.6 / toxicity_cnn.GRID)
+    assert np.mean((z >= net.limits[language]) == y) > 0.97
+
+
+def test_toxicity_pass_step_by_step(spark, monkeypatch):
+    monkeypatch.setattr(toxicity_cnn, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(toxicity_cnn, "PASSES", 1)
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, words(rng, 20) + " vile" * (i % 3 == 0)) for i in range(200)], "doc_id long, t string")
+    known = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 200, 2)], "doc_id long, y int")
+    shards = toxicity_cnn.dealt(docs, known, "doc_id", 100)
+    rows = [r.asDict() for r in shards.collect()]
+    assert len(rows) > 3 and sum(len(r["labels"]) for r in rows) == 100 and sum(sum(r["labels"]) for r in rows) == 34
+    net, slow = toxicity_cnn.Network(), toxicity_cnn.Network()
+    for n in (net, slow):
+        n.shared = sum(np.frombuffer(r["shared"], np.int64) for r in rows)
+        n.embed[:-1][n.shared < toxicity_cnn.LEAST_TEXTS] = 0
+    toxicity_cnn._passes(net, shards)
+    before, _ = slow.table()
+    total, steps = np.zeros((len(before), 2 * toxicity_cnn.DIM)), np.zeros(len(before))
+    for r in rows:
+        own = copy.deepcopy(slow)
+        touched = toxicity_cnn.Shard(r).learn(own, toxicity_cnn.weight_of(34, 100), 0)
+        total += np.concatenate(own.table(), 1) * touched[:, None]
+        steps += touched
+    want = np.concatenate(slow.table(), 1)
+    want[steps > 0] = total[steps > 0] / steps[steps > 0, None]
+    assert np.allclose(np.concatenate(net.table(), 1), want, atol=1e-4) and np.abs(want[:, : toxicity_cnn.DIM] - before).max() > 0.05
+    assert not net.embed[:-1][net.shared < toxicity_cnn.LEAST_TEXTS].any()
+
+
 def test_toxicity_odd_tables(spark, docs, toxic):
     labels = toxic[1]
     assert toxicity_cnn.score(docs, labels).count() == docs.count()
