@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter
@@ -412,6 +413,43 @@ def test_toxicity_pass_step_by_step(spark, monkeypatch):
     assert not net.embed[:-1][net.shared < toxicity_cnn.LEAST_TEXTS].any()
 
 
+def test_forest_of_many_near_prints_takes_little_memory():
+    fps = np.unique(np.random.default_rng(3).integers(0, 1 << 11, 2_000))  # all within 11 bits
+    rows = np.stack([np.zeros_like(fps)] * 3 + [fps, np.full_like(fps, simhash_gph.BOTH)])
+    tracemalloc.start()
+    try:
+        out = simhash_gph._trees(rows, 11)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    apart = np.bitwise_count((fps[:, None] ^ fps[None, :]).view(np.uint64)).astype(np.int64)
+    i, j = np.nonzero(apart)
+    want = simhash_gph.spanning(np.stack([fps[i], fps[j], apart[i, j]]))  # all pairs at once
+    assert out.num_rows == len(fps) - 1 and set(zip(*(c.to_pylist() for c in out.columns), strict=True)) == set(zip(*want[:2].tolist(), strict=True))
+    assert peak < 60e6
+
+
+def test_toxicity_shard_is_packed_in_little_memory():
+    texts = ["the a b c d e f g h i " * 10] * 4_000  # 400,000 words
+    tracemalloc.start()
+    try:
+        row = toxicity_cnn.Shard.packed(0, texts, [0] * 4_000)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 24 * 400_000 and set(row["languages"]) == {0}
+
+
+def test_toxicity_train_starts_no_workers_for_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") * 9) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **k: pytest.fail("rows go through Python workers of their own"))
+    fitted, fit = [], toxicity_cnn.Network.fit
+    monkeypatch.setattr(toxicity_cnn.Network, "fit", lambda self, texts, y: fitted.extend(zip(texts, y.tolist(), strict=True)) or fit(self, texts, y))
+    toxicity_cnn.train(docs, labels, F.lit(True))
+    assert sorted(fitted) == sorted((("vile " if i % 2 else "kind ") * 9, i % 2) for i in range(40))
+
+
 def test_toxicity_odd_tables(spark, docs, toxic):
     labels = toxic[1]
     assert toxicity_cnn.score(docs, labels).count() == docs.count()

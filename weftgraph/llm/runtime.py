@@ -9,10 +9,13 @@ error.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,14 +77,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def slices(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``most`` code points each (one text at least)."""
+    return spans([len(t or "") for t in texts], most)
+
+
+def spans(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges whose lengths sum to at most ``most`` (one row at least)."""
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+    for i, n in enumerate(lengths):
+        held += n
         if held > most and i > start:
             yield start, i
-            start, held = i, len(t or "")
-    if start < len(texts):
-        yield start, len(texts)
+            start, held = i, n
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def trim() -> None:
+    """Give free memory back to the system: Python workers outlive their tasks, and what they keep counts for the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def exact(df: DataFrame, *names: str) -> DataFrame:

@@ -40,10 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import components, join_hot
-from weftgraph.llm.runtime import only, settle
+from weftgraph.llm.runtime import only, settle, trim
 
 #: What a row of a bucket is: a fingerprint's own value, a value near it, or its own value that is also probed.
 INDEX, PROBE, BOTH = 0, 1, 2
+#: Pairs compared at once, and links after which a bucket's forest is made anew (or as many as it has, if more).
+CELLS, FRESH = 1 << 18, 1 << 17
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -310,6 +312,8 @@ def meet(rows: DataFrame, most: int, trees: bool = False) -> DataFrame:
                 yield join(now[:, :cut], most)
         if held is not None and held.shape[1]:
             yield join(held, most)
+        held = now = batch = None
+        trim()
 
     join = _trees if trees else _forest
     dealt = rows.repartition("path", "val", "cell").sortWithinPartitions("path", "val", "cell", "fp", "role")
@@ -325,14 +329,14 @@ def _trees(rows: np.ndarray, most: int) -> pa.RecordBatch:
         index, probes = fp[a:b][role[a:b] != PROBE], fp[a:b][role[a:b] != INDEX]
         if not len(index) or not len(probes):
             continue
-        for c in range(0, len(probes), most_cells := max(1, 1_000_000 // len(index))):
+        for c in range(0, len(probes), most_cells := max(1, CELLS // len(index))):
             apart = np.bitwise_count(probes[c : c + most_cells, None] ^ index[None, :])
             i, j = np.nonzero((apart <= most) & (apart > 0))
             if len(i):
                 fresh.append(np.stack([probes[c : c + most_cells][i].view(np.int64), index[j].view(np.int64), apart[i, j].astype(np.int64)]))
                 held += len(i)
-        if held > 500_000:
-            kept, fresh, held = spanning(np.concatenate([kept, *fresh], axis=1)), [], 0
+            if held > max(FRESH, kept.shape[1]):
+                kept, fresh, held = spanning(np.concatenate([kept, *fresh], axis=1)), [], 0
     kept = spanning(np.concatenate([kept, *fresh], axis=1)) if fresh else kept
     return pa.RecordBatch.from_arrays([pa.array(kept[0]), pa.array(kept[1])], ["u", "v"])
 

@@ -37,13 +37,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from weftgraph.llm.ppm import crc_mod
-from weftgraph.llm.runtime import forget, only, settle, slices
+from weftgraph.llm.runtime import forget, only, settle, slices, spans, trim
 
 SAMPLE, NEGATIVES, SAMPLE_BYTES = 1_500, 6_000, 64_000_000
 ROUNDS, STEPS = (12, 60), 1_500
@@ -76,7 +77,8 @@ def words(text: str) -> list[str]:
 def hashes(distinct: list[str]) -> np.ndarray:
     """Four bucket numbers for each word."""
     h = xxhash.xxh32_intdigest
-    return np.array([[h(w, 1), h(w[:4], 2), h(w[:5], 3), h(w[:6], 4)] for w in distinct], np.int64).reshape(-1, 4) % BUCKETS
+    flat = (n for w in distinct for n in (h(w, 1), h(w[:4], 2), h(w[:5], 3), h(w[:6], 4)))
+    return np.fromiter(flat, np.int64, 4 * len(distinct)).reshape(-1, 4) % BUCKETS
 
 
 def tells(distinct: list[str]) -> np.ndarray:
@@ -323,8 +325,8 @@ class Shard:
         own = [np.array([index.setdefault(w, len(index)) for w in words(t)], np.uint32) for t in texts]
         distinct, ids = list(index), np.concatenate(own)
         buckets, sizes = hashes(distinct), np.array([len(o) for o in own], np.int64)
-        told, text = tells(distinct)[ids], np.repeat(np.arange(len(own)), sizes)
-        told = np.stack([np.bincount(text, told[:, k], len(own)) for k in range(len(TELLING))], 1)
+        telling = tells(distinct)
+        told = np.array([telling[o].sum(0, dtype=np.float64) for o in own])  # text by text: no table as long as ids
         languages = np.where(told.sum(1) > 0, told.argmax(1), len(TELLING)).astype(np.uint8)
         arrays = [buckets.astype(np.uint16), ids, sizes, np.array(labels, np.uint8), languages, shares(buckets[np.unique(o)] for o in own)]
         return {"shard": number} | {k.split()[0]: a.tobytes() for k, a in zip(SHARD.split(", ")[1:], arrays, strict=True)}
@@ -376,12 +378,17 @@ def dealt(docs: DataFrame, known: DataFrame, key: str, rows: int) -> DataFrame:
 
     def pack(texts: pa.Table, labels: pa.Table) -> pa.Table:
         label = dict(zip(labels[key].to_pylist(), labels["y"].to_pylist(), strict=True))
-        own = [(h, t, label[k]) for h, k, t in zip(*(texts[c].to_pylist() for c in ("h", key, "t")), strict=True) if k in label]
+        own = []
+        for batch in texts.to_batches(max_chunksize=512):  # texts without a label aren't held as strings, too
+            own += [(h, t, label[k]) for h, k, t in zip(*(batch.column(c).to_pylist() for c in ("h", key, "t")), strict=True) if k in label]
         own.sort()
         schema = pa.schema([(n, pa.int32() if kind == "int" else pa.binary()) for n, kind in (c.split() for c in SHARD.split(", "))])
         if not own:
             return schema.empty_table()
-        return pa.Table.from_pylist([Shard.packed(texts["shard"][0].as_py(), [t for _, t, _ in own], [y for *_, y in own])], schema)
+        out = pa.Table.from_pylist([Shard.packed(texts["shard"][0].as_py(), [t for _, t, _ in own], [y for *_, y in own])], schema)
+        own.clear()
+        trim()
+        return out
 
     sides = found.select(shard, key, "t", F.xxhash64(key).alias("h")), known.select(shard, key, "y")
     ours, theirs = (side.repartition(min(2 * many, MOST_PARTITIONS), "shard").groupBy("shard") for side in sides)
@@ -404,6 +411,8 @@ def summed(shards: DataFrame, each, many: int, width: int) -> np.ndarray:
                 total = more if total is None else total + more
         if total is not None:
             yield from give((n // BLOCK, total[n : n + BLOCK]) for n in range(0, len(total), BLOCK))
+        del total
+        trim()
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -446,14 +455,16 @@ def start(net: Network, texts: DataFrame, known: DataFrame, key: str) -> None:
     order = F.xxhash64(key)
     chosen = known.filter("y = 1").orderBy(order, key).limit(SAMPLE).union(known.filter("y = 0").orderBy(order, key).limit(NEGATIVES))
     ids = F.broadcast(chosen)  # SAMPLE + NEGATIVES rows at most
-    sizes = texts.join(ids, key).groupBy(key, "y").agg(F.max(F.octet_length("t")).alias("bytes")).orderBy(order, key).collect()
+    sizes = texts.join(ids, key).groupBy(key, "y").agg(F.max(F.octet_length("t")).alias("bytes"))
     fitting, used = [], 0
-    for r in sizes:
-        if used + r.bytes <= SAMPLE_BYTES or not fitting:
-            fitting.append((r[key], r.y))
-            used += r.bytes
+    for at, size in sizes.orderBy(order, key).select(order, "bytes").collect():
+        if used + size <= SAMPLE_BYTES or not fitting:
+            fitting.append(at)
+            used += size
     if fitting:
-        ids = F.broadcast(texts.sparkSession.createDataFrame(fitting, f"`{key}` {dict(texts.dtypes)[key]}, y int"))
+        # as an Arrow table: a list of rows would start Python workers of another kind, which stay beside the others
+        picked = texts.sparkSession.createDataFrame(pa.table({"__at": pa.array(fitting, pa.int64())}))
+        ids = F.broadcast(chosen.join(F.broadcast(picked), order == F.col("__at"), "left_semi"))
         rows = texts.join(ids, key).groupBy(key, "y").agg(F.min("t").alias("t")).orderBy(order, key).collect()  # SAMPLE_BYTES in all
         net.fit([r.t for r in rows], np.array([r.y for r in rows], np.float32))
 
@@ -471,7 +482,10 @@ def _passes(net: Network, shards: DataFrame) -> None:
             own, (old, _) = copy.deepcopy(common.value), common.value.table()
             steps = Shard(row).learn(own, weight, turn)[:, None]
             new, squares = own.table()
-            return np.concatenate([np.rint(np.concatenate([new - old, squares], 1) * steps * units), steps], 1).astype(np.int64)
+            out, some = np.zeros((len(steps), 2 * DIM + 1), np.int64), np.flatnonzero(steps)
+            out[some, :-1] = np.rint(np.concatenate([new[some] - old[some], squares[some]], 1) * steps[some] * units)
+            out[some, -1:] = steps[some]
+            return out
 
         weights, squares = net.table()
         sums = summed(rows, each, len(weights), 2 * DIM + 1)
@@ -510,9 +524,13 @@ def with_scores(docs: DataFrame, net: Network, text: str = "text", name: str = "
     def run(batches):
         rows = WordRows(shared.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            for a, b in slices(texts, 1_000_000):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(rows.scores(texts[a:b]), pa.float64())], [*batch.schema.names, name])
+            lengths = pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_pylist()
+            for a, b in spans(lengths, 1_000_000):  # a slice's texts become strings at a time, not a batch's
+                part = batch.slice(a, b - a)
+                texts = [x or "" for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows.scores(texts), pa.float64())], [*batch.schema.names, name])
+        rows = batch = part = texts = None
+        trim()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
