@@ -56,6 +56,19 @@ def test_math_undefined(spark):
         compile_math("1 +", {})
 
 
+@pytest.mark.parametrize(("lon", "lat", "met"), [(5, 5, True), (10, 5, True), (0, 5, True), (5, 10, True), (5, 0, True), (10, 10, True), (10, 11, False), (11, 10, False), (10.000001, 5, False)])
+def test_intersects_holds_the_boundary(spark, lon, lat, met):
+    p, square = geo.Point(lon, lat), geo.Polygon([(0, 0), (10, 0), (10, 10), (0, 10)])
+    ring = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
+    assert one(spark, P.geo_intersects(square).column(p.column(), ring.elementType)) is met
+    assert one(spark, P.geo_intersects(p).column(square.column(), ring)) is met
+
+
+def test_intersects_holds_slanted_sides(spark):
+    meets = lambda *p: one(spark, geo.meets_ring(geo.Point(*p).column(), geo.Polygon([(0, 0), (8, 0), (0, 8)]).column()))
+    assert meets(4, 4) and meets(8, 0) and not meets(4, 4.5) and not meets(9, -1)
+
+
 def test_geometry(spark):
     paris, london = geo.Point(2.3522, 48.8566), geo.Point(-0.1276, 51.5072)
     assert one(spark, geo.haversine(paris.column(), london.column())) == pytest.approx(343_500, rel=0.01)

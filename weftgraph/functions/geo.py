@@ -90,9 +90,30 @@ def boxes_meet(a: Column, b: Column) -> Column:
     return F.coalesce((a["west"] <= b["east"]) & (a["east"] >= b["west"]) & (a["south"] <= b["north"]) & (a["north"] >= b["south"]), F.lit(False))
 
 
+def _sides(ring: Column) -> Column:
+    """The segments between a ring's points."""
+    starts, ends = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
+def on_ring(p: Column, ring: Column) -> Column:
+    """Points of the boundary itself; rings of fewer than four points have none."""
+
+    def holds(s):
+        a, b = s["a"], s["b"]
+        level = (b["lon"] - a["lon"]) * (p["lat"] - a["lat"]) == (b["lat"] - a["lat"]) * (p["lon"] - a["lon"])
+        return level & p["lon"].between(F.least(a["lon"], b["lon"]), F.greatest(a["lon"], b["lon"])) & p["lat"].between(F.least(a["lat"], b["lat"]), F.greatest(a["lat"], b["lat"]))
+
+    return F.coalesce((F.size(ring) >= 4) & F.exists(_sides(ring), holds), F.lit(False))
+
+
+def meets_ring(p: Column, ring: Column) -> Column:
+    """Within the ring or on its boundary."""
+    return in_ring(p, ring) | on_ring(p, ring)
+
+
 def in_ring(p: Column, ring: Column) -> Column:
     """Even-odd rule; rings of fewer than four points contain nothing."""
-    starts, ends = F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0)))
 
     def crosses(s):
         a, b = s["a"], s["b"]
@@ -100,6 +121,5 @@ def in_ring(p: Column, ring: Column) -> Column:
         rise = F.when(b["lat"] == a["lat"], F.lit(1e-300)).otherwise(b["lat"] - a["lat"])
         return across & (p["lon"] < (b["lon"] - a["lon"]) * (p["lat"] - a["lat"]) / rise + a["lon"])
 
-    pairs = F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    odd = F.size(F.filter(pairs, crosses)) % 2 == 1
+    odd = F.size(F.filter(_sides(ring), crosses)) % 2 == 1
     return F.coalesce((F.size(ring) >= 4) & odd, F.lit(False))

@@ -153,9 +153,9 @@ class P:
         if isinstance(shape, geo.Point):
             if point:
                 return F.coalesce((c["lon"] == shape.lon) & (c["lat"] == shape.lat), F.lit(False))
-            return geo.in_ring(shape.column(), c)
+            return geo.meets_ring(shape.column(), c)
         if isinstance(shape, geo.Polygon):
-            return geo.in_ring(c, shape.column()) if point else geo.boxes_meet(geo.ring_box(c), geo.ring_box(shape.column()))
+            return geo.meets_ring(c, shape.column()) if point else geo.boxes_meet(geo.ring_box(c), geo.ring_box(shape.column()))
         return P("geo_bbox", *shape)._geo(c, dtype)
 
 
