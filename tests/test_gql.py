@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 
 from tests.test_traversal import EDGES, VERTICES
+from weftgraph.functions import stemming
 from weftgraph.functions.stemming import stem
 from weftgraph.model import PropertyGraph
 from weftgraph.operators import algorithms, mutation, textsearch
@@ -226,3 +227,22 @@ def test_blocks_end_with_a_text(monkeypatch):
 def test_stemmer():
     pairs = "consigned consign consistency consist consolation consol conspicuously conspicu knightly knight knotty knotti hopping hop hoping hope agreed agre relational relat rationalize ration dying die happily happili".split()
     assert [stem(w) for w in pairs[::2]] == pairs[1::2]
+
+
+def test_stemming_takes_few_arrays_at_a_time(spark, monkeypatch):
+    """Nulls and empty arrays stay; no slice of a batch is larger than it may be."""
+    arrays = [["mills", "red"], None, [], ["milling", "mills"]]
+    seen = []
+    monkeypatch.setattr(stemming, "ROWS", 3)
+    monkeypatch.setattr(stemming, "stem", lambda w: (seen.append(w), stem(w))[1])
+    whole = pa.array(arrays, pa.list_(pa.string()))
+    assert [stemming._stems(whole.slice(i, 3)).to_pylist() for i in (0, 3)] == [[["mill", "red"], None, []], [["mill", "mill"]]]
+    assert seen == ["mills", "red", "milling", "mills"]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays * 900)], "id int, a array<string>").repartition(1)
+    got = dict(df.select("id", stemming.stemmed(df.a)).collect())
+    assert [got[i] for i in range(len(got))] == [["mill", "red"], None, [], ["mill", "mill"]] * 900
+
+
+def test_long_texts_reach_python_in_pieces(spark):
+    rows = textsearch._pieces(textsearch.Analyzer(), spark.createDataFrame([(1, "mills " * (2 * textsearch.PIECE + 1)), (2, "the")], "id long, text string")).collect()
+    assert sorted((r.id, r.len, r["at"], len(r.tokens)) for r in rows) == [(1, 2 * textsearch.PIECE + 1, i * textsearch.PIECE, n) for i, n in enumerate([textsearch.PIECE, textsearch.PIECE, 1])] + [(2, 0, 0, 0)]
