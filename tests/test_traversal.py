@@ -121,6 +121,19 @@ def test_graphson_lines(spark, graph, tmp_path):
     assert json.loads(graphson.dumps(again)) == json.loads(graphson.dumps(graph))
 
 
+def test_graphson_files_are_small(spark, tmp_path, monkeypatch):
+    """Lines take a fifth of their text's bytes at most, and a task's lines are cut into files."""
+    monkeypatch.setattr(graphson, "LINES_A_FILE", 400)
+    rows = spark.range(1000, numPartitions=1).selectExpr("id", "concat('name ', id) AS name", "id * 3 AS amount")
+    written = PropertyGraph(spark, {"thing": rows}, {})
+    graphson.write(written, f"file://{tmp_path}/lines")
+    files = list((tmp_path / "lines" / "vertices").glob("part-*"))
+    text = sum(len(r.value) + 1 for r in graphson.lines(written, "v").collect())
+    assert len(files) == 3 and sum(f.stat().st_size for f in files) * 5 < text
+    again = graphson.read(spark, f"file://{tmp_path}/lines").traversal().V().hasLabel("thing").df("id", "name", "amount")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_store_and_saved(spark, graph, tmp_path):
     path = f"file://{tmp_path}/g"
     assert store.save(graph, path, by_target=True) == 0 and store.save(graph, path) == 1

@@ -12,6 +12,8 @@ from weftgraph.functions import geo
 from weftgraph.functions import values as V
 from weftgraph.model import PropertyGraph
 
+LINES_A_FILE = 500_000
+
 
 def read_value(x):
     """A GraphSON value in Python: dates are milliseconds, UUIDs are strings."""
@@ -146,9 +148,12 @@ def lines(graph: PropertyGraph, kind: str, labels=None):
 
 
 def write(graph: PropertyGraph, path: str, vertex_labels=None, edge_labels=None) -> None:
-    """Two folders of lines, ``vertices`` and ``edges``; nothing passes through the driver."""
-    lines(graph, "v", vertex_labels).write.text(f"{path}/vertices")
-    lines(graph, "e", edge_labels).write.text(f"{path}/edges")
+    """Two folders of lines, ``vertices`` and ``edges``; nothing passes through the driver.
+
+    The files are compressed, as lines repeat their keys; each is read by one task, so none has too many lines.
+    """
+    for part, all_lines in (("vertices", lines(graph, "v", vertex_labels)), ("edges", lines(graph, "e", edge_labels))):
+        all_lines.write.option("maxRecordsPerFile", LINES_A_FILE).text(f"{path}/{part}", compression="gzip")
 
 
 def _unwrapped(c, t):
