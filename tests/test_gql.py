@@ -207,6 +207,16 @@ def test_merge_after_changes_is_the_index_of_what_is_left(spark, bodies, tmp_pat
         assert found(merged, q) == found(stored, q) == found(left, q) != []
 
 
+@pytest.mark.parametrize("q", [textsearch.TextQ.phrase("green mill")], ids=lambda q: q.op)
+def test_stored_search_without_shuffled_postings(spark, bodies, tmp_path, q):
+    """The stored index gives what the texts give; a block's row holds a term's postings, so there are fewer rows than postings."""
+    stored = textsearch.store_index(bodies, "v", "body", f"file://{tmp_path}/i")
+    assert found(stored, q) == found(bodies, q) != []
+    index = stored.text["v", "body"]
+    kept = spark.read.parquet(f"{index.path}/{index.segments[0]}/postings").filter("term = 'mill'")
+    assert "ids" in kept.columns and sum(len(r.ids) for r in kept.collect()) == 3
+
+
 def test_blocks_end_with_a_text(monkeypatch):
     """Texts cut into pieces over several batches are whole in one block each."""
     monkeypatch.setattr(textsearch, "BLOCK_TOKENS", 4)
