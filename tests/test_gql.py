@@ -207,7 +207,7 @@ def test_merge_after_changes_is_the_index_of_what_is_left(spark, bodies, tmp_pat
         assert found(merged, q) == found(stored, q) == found(left, q) != []
 
 
-@pytest.mark.parametrize("q", [textsearch.TextQ.phrase("green mill"), textsearch.TextQ.prefix("mill"), textsearch.TextQ.match_all("oats green")], ids=lambda q: q.op)
+@pytest.mark.parametrize("q", [textsearch.TextQ.phrase("green mill"), textsearch.TextQ.prefix("mill"), textsearch.TextQ.match_all("oats green"), textsearch.TextQ.match("red oats")], ids=lambda q: q.op)
 def test_stored_search_without_shuffled_postings(spark, bodies, tmp_path, q):
     """The stored index gives what the texts give; a block's row holds a term's postings, so there are fewer rows than postings."""
     stored = textsearch.store_index(bodies, "v", "body", f"file://{tmp_path}/i")
